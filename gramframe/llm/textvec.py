@@ -14,6 +14,8 @@ U = np.uint64
 BASE, STEP = 0x9E3779B97F4A7C15, U(0xD1342543DE82EF95)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Capital letters become small, and what is no letter or digit becomes a space, among the bytes of ASCII.
+PLAIN = np.array([ord(chr(b).lower()) if b >= 128 or chr(b).isalnum() else 32 for b in range(128)] + list(range(128, 256)), np.uint8)
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -105,6 +107,20 @@ def distinct_shingles(col: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np
     return (key[at] >> U(44)).astype(np.int64), key[at] & U((1 << 44) - 1), np.diff(np.append(at, len(key))), len(offs) - 1
 
 
+def byte_ngrams(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of each run of k bytes within a text, repeats included."""
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    h = data[:n].astype(U) + U(k)
+    for j in range(1, k):
+        h *= STEP
+        h += data[j : j + n]
+    at = doc[:n] == doc[k - 1 :]
+    return doc[:n][at], mix(h[at])
+
+
 def lists(values: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A column of lists, of which at says where each begins."""
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
