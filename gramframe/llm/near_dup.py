@@ -141,7 +141,7 @@ def across(rows: DataFrame, p: NearDup) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, p: NearDup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, node, class_id) of each row; class_id is the smallest id of its class."""
+    """(id, node, class_id, class_node) of each row; class_id is the smallest id of its class, class_node the text it has."""
     p = p or NearDup()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", text_key(F.col("text")))
     sketch = cut(sketches(rows, p), "sketch")
@@ -168,8 +168,15 @@ def near_duplicates(docs: DataFrame, p: NearDup | None = None, id_col: str = "do
         labels = components(links.union(new))
     ids = rows.groupBy("node").agg(F.min("id").alias("least_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = cut(ids, "ids")
-    least = ids.groupBy("label").agg(F.min("least_id").alias("class_id"))
-    return rows.select("id", "node").join(ids.join(least, "label").select("node", "class_id"), "node").select("id", "node", "class_id")
+    least = ids.groupBy("label").agg(F.min(F.struct("least_id", "node")).alias("least")).select("label", F.col("least.least_id").alias("class_id"), F.col("least.node").alias("class_node"))
+    return rows.select("id", "node").join(ids.join(least, "label").select("node", "class_id", "class_node"), "node").select("id", "node", "class_id", "class_node")
+
+
+def keep_one(docs: DataFrame, p: NearDup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of docs, that with the smallest id, and one of rows that repeat it."""
+    best = near_duplicates(docs, p, id_col, text_col).select(F.col("class_id").alias("best_id"), F.col("class_node").alias("best_node")).distinct()
+    kept = docs.join(best, docs[id_col].eqNullSafe(F.col("best_id")) & (text_key(docs[text_col]) == F.col("best_node")), "left_semi")
+    return kept.dropDuplicates([id_col, text_col])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Quality classifier by importance resampling.
 
 Documents and target texts are bags of hashed word unigrams and bigrams. Two generative models, bucket shares among all documents
-and among the target, give each document the log ratio of its probability under either. A document's key is that ratio plus Gumbel
-noise, a function of the document; the k largest keys are a sample without replacement in proportion to the ratio.
+and among the target, give each document the log ratio of its probability under either. Its mean over the document's n-grams, so that
+long and short texts compete alike, over a temperature is the log weight; with Gumbel noise, a function of the document, it is the
+key, and the k largest keys are a sample without replacement in proportion to the weights.
 
 The raw model counts all documents. The target is a bounded sample of rows labelled good, those with the smallest digests.
 Defined results: null and empty texts have the ratio 0; rows equal in id and text share key and fate; without labels every ratio is 0;
@@ -25,11 +26,13 @@ from gramframe.llm.common import by_chunk, chunks, cut
 
 @dataclass(frozen=True)
 class Resampling:
-    """Buckets of either order, most labelled rows that the target takes, smoothing, and the documents to take: None for as many as are likelier under the target than among all."""
+    """Buckets of either order, most labelled rows that the target takes, smoothing, temperature, and the documents to take: None for as many as have a mean log ratio over -margin."""
 
     buckets: int = 1 << 14
     target_rows: int = 20_000
     smoothing: float = 1.0
+    temperature: float = 0.005
+    margin: float = 0.03
     take: int | None = None
     exact_rows: int = 10_000
 
@@ -74,9 +77,9 @@ def log_ratios(counts: DataFrame, p: Resampling) -> np.ndarray:
 def scores(texts: DataFrame, ratios: np.ndarray, p: Resampling) -> DataFrame:
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         doc, bucket, n = bags(part.column(1), p)
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.bincount(doc, ratios[bucket], n).astype(np.float64))], ["id", "u", "log_ratio"])
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.bincount(doc, ratios[bucket], n).astype(np.float64)), pa.array(np.bincount(doc, minlength=n))], ["id", "u", "log_ratio", "n_grams"])
 
-    return texts.select("id", "text", "u").mapInArrow(by_chunk(make, "text"), "id long, u double, log_ratio double")
+    return texts.select("id", "text", "u").mapInArrow(by_chunk(make, "text"), "id long, u double, log_ratio double, n_grams long")
 
 
 def least_taken(keys: DataFrame, k: int, exact_rows: int) -> float:
@@ -99,20 +102,21 @@ def least_taken(keys: DataFrame, k: int, exact_rows: int) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, p: Resampling | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(id, log_ratio, gumbel_key, kept) of each row."""
+    """(id, log_ratio, mean_ratio, gumbel_key, kept) of each row."""
     p = p or Resampling()
     uniform = (F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), uniform.alias("u"))
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(p.target_rows)
     flagged = texts.join(F.broadcast(good.withColumn("good", F.lit(True))), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("target"))
     ratios = log_ratios(bucket_counts(flagged, p), p)
-    keys = cut(scores(texts, ratios, p).withColumn("key", F.col("log_ratio") - F.log(-F.log("u"))), "keys")
-    k = keys.where("log_ratio > 0").count() if p.take is None else min(p.take, keys.count())
+    mean = F.col("log_ratio") / F.greatest("n_grams", F.lit(1))
+    keys = cut(scores(texts, ratios, p).withColumn("mean_ratio", mean).withColumn("key", mean / p.temperature - F.log(-F.log("u"))), "keys")
+    k = keys.where(F.col("mean_ratio") > -p.margin).count() if p.take is None else min(p.take, keys.count())
     least = least_taken(keys, k, p.exact_rows) if k else float("inf")
-    return keys.select("id", "log_ratio", F.col("key").alias("gumbel_key"), (F.col("key") >= least).alias("kept"))
+    return keys.select("id", "log_ratio", "mean_ratio", F.col("key").alias("gumbel_key"), (F.col("key") >= least).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """The log ratio, key and fate of each document."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return resample(read("documents"), read("labels")).select(F.col("id").alias("doc_id"), "log_ratio", "gumbel_key", "kept")
+    return resample(read("documents"), read("labels")).select(F.col("id").alias("doc_id"), "log_ratio", "mean_ratio", "gumbel_key", "kept")

@@ -32,7 +32,7 @@ class Toxicity:
 
     sizes: tuple[int, ...] = (5, 7)
     buckets: int = 1 << 20
-    features: int = 2048
+    features: int = 1024
     positives: int = 6000
     unlabelled: int = 12000
     least_texts: int = 4
