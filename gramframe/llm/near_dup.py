@@ -59,25 +59,25 @@ def prob_minhash(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, n: int, m
     return sig.reshape(n, m)
 
 
-def band_keys(col: pa.Array, p: NearDup) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each text and band; which texts have a shingle."""
+def band_keys(col: pa.Array, p: NearDup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key of each text and band; its signature, 32 bits a component; which texts have a shingle."""
     doc, ids, times, n = tv.distinct_shingles(col, p.words)
     sig = prob_minhash(doc, ids, 1 + np.log(times), n, p.bands * p.rows, p.seed)
     key = np.zeros((n, p.bands), tv.U)
     for j in range(p.rows):
         key = tv.mix(key * tv.STEP + sig[:, j :: p.rows])
-    return key, np.isin(np.arange(n), doc)
+    return key, (sig & tv.U(0xFFFFFFFF)).astype(np.uint32), np.isin(np.arange(n), doc)
 
 
 def sketches(texts: DataFrame, p: NearDup) -> DataFrame:
-    """(id, node, bands) of each text that has a word."""
+    """(id, node, bands, signature) of each text that has a word."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
-        key, some = band_keys(part.column(2), p)
-        key, has = key[some], pa.array(some)
-        return pa.RecordBatch.from_arrays([part.column(0).filter(has), part.column(1).filter(has), tv.lists(key.ravel().view(np.int64), np.arange(len(key) + 1) * p.bands, pa.int64())], ["id", "node", "bands"])
+        key, sig, some = band_keys(part.column(2), p)
+        key, sig, has = key[some], sig[some], pa.array(some)
+        return pa.RecordBatch.from_arrays([part.column(0).filter(has), part.column(1).filter(has), tv.lists(key.ravel().view(np.int64), np.arange(len(key) + 1) * p.bands, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary())], ["id", "node", "bands", "signature"])
 
-    return texts.select("id", "node", "text").mapInArrow(by_chunk(make, "text"), "id long, node binary, bands array<long>")
+    return texts.select("id", "node", "text").mapInArrow(by_chunk(make, "text"), "id long, node binary, bands array<long>, signature binary")
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -117,7 +117,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame, p: NearDup) -> DataFrame:
-    """Pairs of members of one bucket and different classes that share another band too. rows: (band, key, node, bands, label, main, size).
+    """Pairs of members of one bucket and different classes whose signatures agree nearly enough for a link: in at least the share
+    `similarity` less 3.3 standard errors of it, which one of a few thousand links misses. rows: (band, key, node, bands, signature, label, main, size).
 
     Members of a bucket's main class stand in one block each; the others are in every block, so that each pair meets in some block.
     """
@@ -129,12 +130,14 @@ def across(rows: DataFrame, p: NearDup) -> DataFrame:
         import pandas as pd
 
         bands, label, node = np.array(batch["bands"].tolist(), np.int64), batch["label"].to_numpy(), batch["node"].to_numpy()
+        sig = np.stack([np.frombuffer(x, np.uint32) for x in batch["signature"]])
+        least = p.similarity - 3.3 * (p.similarity * (1 - p.similarity) / sig.shape[1]) ** 0.5
         _, label = np.unique(np.array([x.hex() for x in label]), return_inverse=True)
         band, block, home, out = int(batch["band"].iloc[0]), int(batch["block"].iloc[0]), batch["home"].to_numpy(), []
         for i in np.flatnonzero(~batch["main"].to_numpy()):
             same = bands == bands[i]
-            ok = (label != label[i]) & (same.sum(1) >= 2) & (same.argmax(1) == band) & (home == block)
-            out += [(node[i], node[j]) for j in np.flatnonzero(ok)]
+            ok = np.flatnonzero((label != label[i]) & (same.argmax(1) == band) & (home == block))
+            out += [(node[i], node[j]) for j in ok[(sig[ok] == sig[i]).mean(1) >= least]]
         return pd.DataFrame(out, columns=["a", "b"])
 
     return spread.groupBy("band", "key", "block").applyInPandas(pairs, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -161,7 +164,7 @@ def near_duplicates(docs: DataFrame, p: NearDup | None = None, id_col: str = "do
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     tally = named.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = tally.groupBy("band", "key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label")).getField("label").alias("most")).where("classes > 1").drop("classes")
-    open_rows = named.join(mixed, ["band", "key"]).withColumn("main", F.col("label") == F.col("most")).join(once.drop("id"), "node").select("band", "key", "node", "bands", "label", "main", "size")
+    open_rows = named.join(mixed, ["band", "key"]).withColumn("main", F.col("label") == F.col("most")).join(once, "node").join(sketch.select("id", "node", "signature").dropDuplicates(["id", "node"]), ["id", "node"]).select("band", "key", "node", "bands", "signature", "label", "main", "size")
     more = cut(across(open_rows, p).join(stars, ["a", "b"], "left_anti"), "pairs")
     new = cut(verified(more, sets, p.similarity), "links")
     if not new.isEmpty():
