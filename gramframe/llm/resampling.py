@@ -26,11 +26,11 @@ from gramframe.llm.common import by_chunk, chunks, cut
 
 @dataclass(frozen=True)
 class Resampling:
-    """Buckets of either order, most labelled rows that the target takes, smoothing, temperature, and the documents to take: None for as many as have a mean log ratio over -margin."""
+    """Buckets of either order, most labelled rows that the target takes, n-grams in the shares of the raw model that it starts from, temperature, and the documents to take: None for as many as have a mean log ratio over -margin."""
 
     buckets: int = 1 << 14
     target_rows: int = 20_000
-    smoothing: float = 1.0
+    smoothing: float = 1000.0
     temperature: float = 0.005
     margin: float = 0.03
     take: int | None = None
@@ -69,9 +69,12 @@ def log_ratios(counts: DataFrame, p: Resampling) -> np.ndarray:
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not target.sum():
         return np.zeros(2 * p.buckets)
-    share = lambda x: np.log((x + p.smoothing) / (x.sum() + p.smoothing * p.buckets))
-    half = p.buckets
-    return np.concatenate([share(target[:half]) - share(raw[:half]), share(target[half:]) - share(raw[half:])])
+    out = []
+    for r, t in ((raw[: p.buckets], target[: p.buckets]), (raw[p.buckets :], target[p.buckets :])):
+        share = r / max(r.sum(), 1)
+        ratio = (t + p.smoothing * share) / np.where(share > 0, share * (t.sum() + p.smoothing), 1)
+        out.append(np.log(np.where(share > 0, ratio, 1)))
+    return np.concatenate(out)
 
 
 def scores(texts: DataFrame, ratios: np.ndarray, p: Resampling) -> DataFrame:
