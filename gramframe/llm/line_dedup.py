@@ -119,7 +119,9 @@ def dropped_lines(docs: DataFrame, p: LineDedup | None = None, id_col: str = "do
     near = halves.join(shared, "half").select("key").distinct().join(firsts.select("key", "first"), "key")
     wanted = near.select("key", "first", F.col("first.id").alias("id"), F.col("first.node").alias("node"), F.col("first.line").alias("line")).groupBy("id", "node").agg(F.collect_list(F.struct("line", "key", "first")).alias("want"))
     found = texts.join(wanted, ["id", "node"]).select(F.explode("want").alias("w"), F.split("text", "\n").alias("parts"))
-    survivors = cut(found.select("w.key", "w.first", F.element_at("parts", F.col("w.line") + 1).alias("text")).dropDuplicates(["key"]), "survivors")
+    # the order of firsts with seven bytes of the digest, as millions of variants carry it
+    brief = F.struct(F.col("w.first.id"), F.conv(F.hex(F.substring("w.first.node", 1, 7)), 16, 10).cast("long").alias("node"), F.col("w.first.line")).alias("first")
+    survivors = cut(found.select("w.key", brief, F.element_at("parts", F.col("w.line") + 1).alias("text")).dropDuplicates(["key"]), "survivors")
     keyed = cut(variants(survivors), "variants")
     own = keyed.where("place < 0").select("variant", F.col("key").alias("own"), F.col("first").alias("own_first"))
     less = keyed.where("place >= 0").groupBy("variant", "place").agg(F.min(F.struct("first", "key")).alias("least"), F.count(F.lit(1)).alias("n"))
