@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: seeds, then Smith-Waterman alignment.
 
 Words are taken without case and punctuation (of ASCII). Each run of seed_words words of a test item is a seed. One pass over the
-documents finds the passages around seeds; of an item's seeds those are rare that no more documents have than the middle one of
-the item, so that at least half of each item's seeds count however often the item was copied. Passages with a rare seed are aligned
-with the item word by word, and a document leaks an item if the alignment reaches min_score of the item's own. Test items are taken
-in blocks of a fixed number, each shipped to the executors; the documents are never collected.
+documents finds the passages around seeds; each is aligned with the item word by word, unless it has too few of the item's words
+for any alignment to do, and a document leaks an item if the alignment reaches min_score of the item's own. Copies in which no seed
+is left are not found. Test items are taken in blocks of a fixed number, each shipped to the executors; the documents are never
+collected.
 
 Defined results: null texts and items are empty and never match; an item of fewer than seed_words words is one seed; rows equal in
 id and text give one row an item; an empty table on either side gives an empty result; extra columns are ignored.
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramframe.llm import textvec as tv
-from gramframe.llm.common import by_chunk, cut, text_key
+from gramframe.llm.common import by_chunk, text_key
 
 
 @dataclass(frozen=True)
@@ -63,14 +63,23 @@ class Items:
         self.begin = np.searchsorted(self.seed_of, np.arange(len(self.seeds) + 1))
 
 
-def passages(texts: DataFrame, items: Items, p: Decontam) -> DataFrame:
-    """(id, node, item, seeds, words, at): what stands around the seeds of an item in a document; far apart seeds give several."""
+def block_leaks(texts: DataFrame, items: Items, p: Decontam) -> DataFrame:
+    """(id, node, item_id, score, end_word) of each document and item of the block that it leaks: every passage that shares a seed is aligned; far apart seeds give several."""
+    short = {len(w) for w in items.words if 0 < len(w) < p.seed_words}
+
+    def score(item: int, passage: np.ndarray) -> tuple[float, int] | None:
+        own = items.words[item]
+        # no alignment matches more words than the passage has of the item's
+        if np.isin(own, passage).sum() < p.min_score * len(own):
+            return None
+        best, end = align(own, passage, p)
+        share = best / (p.match * len(own))
+        return (share, end) if share >= p.min_score else None
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch | None:
         data, offs = tv.utf8(part.column(2))
         words = tv.Words(tv.PLAIN[data], offs)
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        short = {len(w) for w in items.words if 0 < len(w) < p.seed_words}
+        found: dict[tuple[int, int], list[int]] = {}
         for k in sorted(short | {p.seed_words}):
             at, h = words.ngrams(k)
             if k < p.seed_words:  # the seed of a short item is hashed as a text of its own
@@ -82,53 +91,24 @@ def passages(texts: DataFrame, items: Items, p: Decontam) -> DataFrame:
             for i in np.flatnonzero(items.seeds[spot] == h).tolist():
                 s, w = int(spot[i]), int(at[i])
                 for item in items.item_of[items.begin[s] : items.begin[s + 1]].tolist():
-                    found.setdefault((int(words.doc[w]), item), []).append((w, s))
+                    found.setdefault((int(words.doc[w]), item), []).append(w)
         rows = []
         for (doc, item), hits in found.items():
             hits.sort()
-            size, group = len(items.words[item]), [hits[0]]
-            for hit in [*hits[1:], (1 << 60, -1)]:
-                if hit[0] - group[-1][0] <= size:
-                    group.append(hit)
-                    continue
-                a, b = max(words.at[doc], group[0][0] - size), min(words.at[doc + 1], group[-1][0] + size + p.seed_words)
-                rows.append((doc, item, sorted({s for _, s in group}), words.hash[a:b].view(np.int64), int(a - words.at[doc])))
-                group = [hit]
+            size, first, last = len(items.words[item]), hits[0], hits[0]
+            for hit in [*hits[1:], 1 << 60]:
+                if hit - last > size:
+                    a, b = max(words.at[doc], first - size), min(words.at[doc + 1], last + size + p.seed_words)
+                    if got := score(item, words.hash[a:b]):
+                        rows.append((doc, items.ids[item], got[0], int(a - words.at[doc]) + got[1]))
+                    first = hit
+                last = hit
         if not rows:
             return None
         doc = pa.array([r[0] for r in rows])
-        return pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.int64())], ["id", "node", "item", "seeds", "words", "at"])
+        return pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64())], ["id", "node", "item_id", "score", "end_word"])
 
-    return texts.select("id", "node", "text").mapInArrow(by_chunk(make, "text"), "id long, node binary, item int, seeds array<int>, words array<long>, at long")
-
-
-def block_leaks(texts: DataFrame, items: Items, p: Decontam) -> DataFrame:
-    found = cut(passages(texts, items, p), "passages")
-    # as many rows as the block has seeds at most
-    docs_of = found.select("id", "node", F.explode("seeds").alias("seed")).distinct().groupBy("seed").agg(F.count(F.lit(1)).alias("docs")).toPandas()
-    df = np.zeros(len(items.seeds), np.int64)
-    df[docs_of["seed"].to_numpy(np.int64)] = docs_of["docs"].to_numpy(np.int64)
-    rare: list[set[int]] = [set() for _ in items.ids]
-    for item in range(len(items.ids)):
-        own = items.seed_of[items.item_of == item]
-        if len(own):
-            rare[item] = set(own[df[own] <= np.median(df[own])].tolist())
-    own_words, ids = items.words, items.ids
-
-    def score(batches):
-        for part in batches:
-            out = []
-            for k, (item, seeds, words, at) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4), part.column(5).to_pylist())):
-                if rare[item].isdisjoint(seeds):
-                    continue
-                best, end = align(own_words[item], words.values.to_numpy().view(tv.U), p)
-                share = best / (p.match * len(own_words[item]))
-                if share >= p.min_score:
-                    out.append((k, ids[item], share, at + end))
-            keep = pa.array([r[0] for r in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64()), pa.array([r[3] for r in out], pa.int64())], ["id", "node", "item_id", "score", "end_word"])
-
-    scored = found.mapInArrow(score, "id long, node binary, item_id long, score double, end_word long")
+    scored = texts.select("id", "node", "text").mapInArrow(by_chunk(make, "text"), "id long, node binary, item_id long, score double, end_word long")
     return scored.groupBy("id", "node", "item_id").agg(F.max(F.struct("score", "end_word")).alias("best")).select("id", "node", "item_id", "best.score", "best.end_word")
 
 

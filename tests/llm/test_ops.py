@@ -121,6 +121,16 @@ def test_decontamination(spark):
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 and decontam.leaks(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("copies", [0, 3])
+@pytest.mark.parametrize("every", [4, 5])
+def test_decontamination_of_edited_copies(spark, every, copies):
+    words = [f"w{i}" for i in range(40)]
+    edited = " ".join("changed" if i % every == every - 1 else w for i, w in enumerate(words))
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = frame(spark, [(10, f"before {edited} after"), *((20 + k, " ".join(words)) for k in range(copies))])
+    assert {r["id"] for r in decontam.leaks(docs, bench).collect()} == {10, *range(20, 20 + copies)}
+
+
 def test_alignment_against_the_plain_recurrence():
     rng, p = np.random.default_rng(3), decontam.Decontam()
     for _ in range(30):
