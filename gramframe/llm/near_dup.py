@@ -1,8 +1,9 @@
 """MinHash near-dedup with ProbMinHash signatures.
 
-Each distinct text is a weighted set of word shingles. Every shingle is a Poisson process whose rate is its weight; each arrival
-falls on a random component, and a component keeps the shingle that arrived first. Two signatures agree in a component with the
-probability Jaccard similarity of the sets. A text's processes end once no further arrival can win a component.
+Each distinct text is a set of word shingles. Every shingle is a Poisson process whose rate is its weight; each arrival falls on a
+random component, and a component keeps the shingle that arrived first. Two signatures agree in a component with the probability
+Jaccard similarity of the sets, and as each distinct shingle weighs 1, that is the Jaccard similarity by which links are verified. A
+text's processes end once no further arrival can win a component.
 
 Equal texts are one node from the start. Texts that share a band are candidates; in each bucket the member that meets most others
 is compared with the rest, so a bucket of n gives n - 1 pairs. What this leaves in more than one class is compared across classes,
@@ -61,8 +62,8 @@ def prob_minhash(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray, n: int, m
 
 def band_keys(col: pa.Array, p: NearDup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key of each text and band; its signature, 32 bits a component; which texts have a shingle."""
-    doc, ids, times, n = tv.distinct_shingles(col, p.words)
-    sig = prob_minhash(doc, ids, 1 + np.log(times), n, p.bands * p.rows, p.seed)
+    doc, ids, _, n = tv.distinct_shingles(col, p.words)
+    sig = prob_minhash(doc, ids, np.ones(len(ids)), n, p.bands * p.rows, p.seed)
     key = np.zeros((n, p.bands), tv.U)
     for j in range(p.rows):
         key = tv.mix(key * tv.STEP + sig[:, j :: p.rows])
@@ -118,7 +119,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def across(rows: DataFrame, p: NearDup) -> DataFrame:
     """Pairs of members of one bucket and different classes whose signatures agree nearly enough for a link: in at least the share
-    `similarity` less 3.3 standard errors of it, which one of a few thousand links misses. rows: (band, key, node, bands, signature, label, main, size).
+    `similarity` less 5 standard errors of it, which a few of a million links miss. rows: (band, key, node, bands, signature, label, main, size).
 
     Members of a bucket's main class stand in one block each; the others are in every block, so that each pair meets in some block.
     """
@@ -131,7 +132,7 @@ def across(rows: DataFrame, p: NearDup) -> DataFrame:
 
         bands, label, node = np.array(batch["bands"].tolist(), np.int64), batch["label"].to_numpy(), batch["node"].to_numpy()
         sig = np.stack([np.frombuffer(x, np.uint32) for x in batch["signature"]])
-        least = p.similarity - 3.3 * (p.similarity * (1 - p.similarity) / sig.shape[1]) ** 0.5
+        least = p.similarity - 5 * (p.similarity * (1 - p.similarity) / sig.shape[1]) ** 0.5
         _, label = np.unique(np.array([x.hex() for x in label]), return_inverse=True)
         band, block, home, out = int(batch["band"].iloc[0]), int(batch["block"].iloc[0]), batch["home"].to_numpy(), []
         for i in np.flatnonzero(~batch["main"].to_numpy()):

@@ -222,6 +222,19 @@ def test_prob_minhash_estimates_probability_jaccard():
     assert (sig[0] == sig[1]).mean() == pytest.approx(want, abs=0.04)
 
 
+def test_near_duplicates_share_bands_whatever_their_repeats():
+    p, once = near_dup.NearDup(), [f"w{i}" for i in range(304)]
+    missed = 0
+    for k in range(60):
+        own = [f"{w}_{k}" for w in once]
+        passage = [f"p{i}_{k}" for i in range(40)]
+        key, sig, _ = near_dup.band_keys(pa.array([" ".join(own), " ".join(own + passage * 50)]), p)
+        a, b = ({tuple(t[i : i + p.words]) for i in range(len(t) - p.words + 1)} for t in (own, own + passage * 50))
+        assert p.similarity <= len(a & b) / len(a | b) < 0.9
+        missed += not (key[0] == key[1]).any()
+    assert missed == 0
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = np.random.default_rng(8)
