@@ -1,7 +1,6 @@
 """HTML extraction by consensus host paths.
 
-Each page is parsed into blocks; every container is scored by the text of its blocks against its links and boilerplate, and votes for
-its generalised tag-class path (digits collapse). The votes are summed by host in Spark; the path with most wins. Each page is then
+Each page is parsed into blocks; every container is scored by the text of its blocks against their links, boilerplate aside, and votes for its generalised tag-class path (digits collapse). The votes are summed by host in Spark; the path with most wins. Each page is then
 read again and gives the blocks under elements with its host's path, or under its own best container if it has none such.
 
 Dropped are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, by tag, role and the
@@ -47,7 +46,7 @@ STOPS = frozenset("ul ol dl table select body html".split())
 
 @dataclass(frozen=True)
 class Html:
-    """How much links and boilerplate in a container count against its text."""
+    """How much links in a container count against its text."""
 
     noise: float = 2.0
 
@@ -152,13 +151,15 @@ class Page:
                 return
 
     def scores(self, noise: float) -> dict[str, float]:
-        """Of each path, the best score of its elements: text without links and boilerplate, times its share squared."""
+        """Of each path, the best score of its elements: text without links, times its share squared. Boilerplate does not count, as read() leaves it out."""
         good: dict[tuple, float] = {}
         bad: dict[tuple, float] = {}
         for text, links, is_noise, inside in self.blocks:
-            waste = len(text) if is_noise else min(links, len(text))
+            if is_noise:
+                continue
+            waste = min(links, len(text))
             for c in inside:
-                good[c] = good.get(c, 0.0) + (0 if is_noise else len(text) - waste)
+                good[c] = good.get(c, 0.0) + len(text) - waste
                 bad[c] = bad.get(c, 0.0) + waste
         out: dict[str, float] = {}
         for c, mass in good.items():

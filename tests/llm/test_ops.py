@@ -161,6 +161,14 @@ def test_html():
     assert html_text.Page("").rest() == "" and html_text.Page("just text").rest() == "just text"
 
 
+def test_html_article_of_sections_with_long_comments(spark):
+    say = lambda w, n: " ".join([w] * (n // (len(w) + 1)))
+    page = f"<body><nav><a href=x>menu</a></nav><article><h1>Title</h1><section class=intro><p>{say('intro', 300)}</p></section><section class=body><p>{say('body', 600)}</p><blockquote><p>{say('quoted', 200)}</p></blockquote></section><div class=comments><p>{say('me', 900)}</p></div></article></body>"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", page) for i in range(3)], "page_id long, url string, html string")
+    want = "\n\n".join(["Title", say("intro", 300), say("body", 600), say("quoted", 200)])
+    assert [r["text"] for r in html_text.extract(pages).collect()] == [want] * 3
+
+
 def test_html_query_form(spark):
     pages = spark.createDataFrame([(1, "http://h/1", "<body><div class=c1><p>text one here</p></div><div class=x><a href=y>z</a></div></body>", 1), (2, None, None, 1), (2, None, None, 1), (3, "http://h/2", "<p>loose</p>", 1)], "page_id long, url string, html string, host int")
     assert sorted((r["id"], r["text"]) for r in html_text.extract(pages).collect()) == [(1, "text one here"), (2, ""), (2, ""), (3, "loose")]
