@@ -4,8 +4,9 @@ One pass counts each document's characters by class, its common words, and the b
 the mean histograms of a language's documents that pass the base rules, fitted again on those that are near the first fit. A
 document is rejected if its Jensen-Shannon distance (the square root of the divergence in bits) to the reference of its language is
 too large, for either histogram. Histograms of few counts are noisy, so short texts get an allowance that falls with the root of
-their words, and texts of fewer than min_words words are judged by the base rules alone; if a language has fewer than min_reference
-documents to make a reference of, the one of all languages stands in.
+their words (texts of fewer than min_words words are judged by the base rules alone, which has no effect unless min_words is above
+base_words); if a language has fewer than min_reference documents to make a reference of, in either fit, it has none: its distances
+are null and reject nothing.
 
 Defined results: null texts are empty; empty texts fail the base rules and have zero counts; a null language is one of its own; rows
 are judged one by one, so repeated rows get equal results; an empty table gives an empty result; extra columns are kept by `filter`.
@@ -113,10 +114,10 @@ def shares(counts: Column) -> Column:
 
 
 def distance(a: Column, b: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of shares, in bits."""
+    """Jensen-Shannon distance of two histograms of shares, in bits; null if b is."""
     part = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
     terms = F.zip_with(a, b, lambda x, y: part(x, y) + part(y, x))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+    return F.when(b.isNotNull(), F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0))))
 
 
 def _means(rows: DataFrame, width: tuple[int, int], keys: list[str]) -> DataFrame:
@@ -124,12 +125,9 @@ def _means(rows: DataFrame, width: tuple[int, int], keys: list[str]) -> DataFram
 
 
 def references(rows: DataFrame, p: Quality) -> DataFrame:
-    """(lang, rp, rq) of rows with the shares p and q that pass the base rules; lang is never null here ('' stands for null)."""
+    """(lang, rp, rq) of languages with enough rows with the shares p and q that pass the base rules; lang is never null here ('' stands for null)."""
     width = (len(CLASSES), len(WORDS) + 1)
-    overall = _means(rows, width, []).first()  # one row
-    stand_in = lambda c, n: F.array(*[F.lit(float(x or 0)) for x in overall[c][:n]])
-    pick = lambda c, n: F.when(F.col("docs") >= p.min_reference, F.col(c)).otherwise(stand_in(c, n)).alias(c)
-    return _means(rows, width, ["lang"]).select("lang", pick("rp", width[0]), pick("rq", width[1]))
+    return _means(rows, width, ["lang"]).where(F.col("docs") >= p.min_reference).select("lang", "rp", "rq")
 
 
 def judge(docs: DataFrame, p: Quality | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -188,6 +188,14 @@ def test_quality(spark):
     assert quality.filter(frame(spark, texts)).count() == 40 and quality.judge(frame(spark, [])).count() == 0
 
 
+def test_quality_of_a_language_with_few_documents(spark):
+    rng = np.random.default_rng(9)
+    say = lambda common, n: " ".join(rng.choice([*common, "river", "stone", "cloud"], n))
+    docs = frame(spark, [(i, say(["the", "of", "and", "to", "in"], 300)) for i in range(40)]).unionByName(frame(spark, [(100 + i, say(["de", "la", "que", "el", "los"], 3000)) for i in range(5)]).withColumn("lang", F.lit("es")))
+    got = {r["id"]: r for r in quality.judge(docs, quality.Quality(repeat_percent=100)).collect()}
+    assert all(r["kept"] for r in got.values()) and got[100]["word_distance"] is None and got[0]["word_distance"] is not None
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
