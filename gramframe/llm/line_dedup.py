@@ -9,7 +9,7 @@ A line is dropped if an earlier line (by doc_id, place in the document) is alike
 between. Lines that can have a partner share the words before or after their middle, which a first join on those halves finds.
 
 Defined results: null texts are empty and stay; lines without a word are never dropped; rows equal in id and text are one document
-and get one result; of rows that share an id but not the text, that with the smaller digest comes first; extra columns are kept.
+and get one result; of rows that share an id but not the text, that with the smaller digest comes first; a null id comes before all others; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -118,7 +118,8 @@ def dropped_lines(docs: DataFrame, p: LineDedup | None = None, id_col: str = "do
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
     near = halves.join(shared, "half").select("key").distinct().join(firsts.select("key", "first"), "key")
     wanted = near.select("key", "first", F.col("first.id").alias("id"), F.col("first.node").alias("node"), F.col("first.line").alias("line")).groupBy("id", "node").agg(F.collect_list(F.struct("line", "key", "first")).alias("want"))
-    found = texts.join(wanted, ["id", "node"]).select(F.explode("want").alias("w"), F.split("text", "\n").alias("parts"))
+    wanted = wanted.withColumnsRenamed({"id": "of_id", "node": "of_node"})
+    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("node") == F.col("of_node"))).select(F.explode("want").alias("w"), F.split("text", "\n").alias("parts"))
     # the order of firsts with seven bytes of the digest, as millions of variants carry it
     brief = F.struct(F.col("w.first.id"), F.conv(F.hex(F.substring("w.first.node", 1, 7)), 16, 10).cast("long").alias("node"), F.col("w.first.line")).alias("first")
     survivors = cut(found.select("w.key", brief, F.element_at("parts", F.col("w.line") + 1).alias("text")).dropDuplicates(["key"]), "survivors")

@@ -10,7 +10,7 @@ is compared with the rest, so a bucket of n gives n - 1 pairs. What this leaves
 in blocks. Links are verified on the whole shingle sets, and their components are the classes.
 
 Defined results: null texts are empty; texts without a word are alike only if equal; a text of one to four words is one shingle;
-rows with equal text always share a class, whatever their doc_id; an empty table gives an empty result. Other columns are ignored.
+rows with equal text always share a class, whatever their doc_id; a null doc_id comes after all others; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -158,21 +158,22 @@ def near_duplicates(docs: DataFrame, p: NearDup | None = None, id_col: str = "do
     hubs = ranked.groupBy("band", "key").agg(F.max("rank").getField("node").alias("hub"))
     stars = members.join(hubs, ["band", "key"]).where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     stars = cut(stars, "stars")
+    same = (F.col("node") == F.col("of_node")) & F.col("id").eqNullSafe(F.col("of_id"))
     one_each = members.select("node").distinct().join(once.select("node", "id"), "node")
-    sets = cut(shingle_sets(rows.join(one_each, ["node", "id"], "left_semi"), p.words).dropDuplicates(["node"]), "sets")
+    sets = cut(shingle_sets(rows.join(one_each.toDF("of_node", "of_id"), same, "left_semi"), p.words).dropDuplicates(["node"]), "sets")
     links = cut(verified(stars, sets, p.similarity), "links")
     labels = components(links)
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     tally = named.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = tally.groupBy("band", "key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label")).getField("label").alias("most")).where("classes > 1").drop("classes")
-    open_rows = named.join(mixed, ["band", "key"]).withColumn("main", F.col("label") == F.col("most")).join(once, "node").join(sketch.select("id", "node", "signature").dropDuplicates(["id", "node"]), ["id", "node"]).select("band", "key", "node", "bands", "signature", "label", "main", "size")
+    open_rows = named.join(mixed, ["band", "key"]).withColumn("main", F.col("label") == F.col("most")).join(once, "node").join(sketch.select(F.col("id").alias("of_id"), F.col("node").alias("of_node"), "signature").dropDuplicates(["of_id", "of_node"]), same).select("band", "key", "node", "bands", "signature", "label", "main", "size")
     more = cut(across(open_rows, p).join(stars, ["a", "b"], "left_anti"), "pairs")
     new = cut(verified(more, sets, p.similarity), "links")
     if not new.isEmpty():
         labels = components(links.union(new))
     ids = rows.groupBy("node").agg(F.min("id").alias("least_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = cut(ids, "ids")
-    least = ids.groupBy("label").agg(F.min(F.struct("least_id", "node")).alias("least")).select("label", F.col("least.least_id").alias("class_id"), F.col("least.node").alias("class_node"))
+    least = ids.groupBy("label").agg(F.min(F.struct(F.col("least_id").isNull().alias("last"), "least_id", "node")).alias("least")).select("label", F.col("least.least_id").alias("class_id"), F.col("least.node").alias("class_node"))
     return rows.select("id", "node").join(ids.join(least, "label").select("node", "class_id", "class_node"), "node").select("id", "node", "class_id", "class_node")
 
 
@@ -185,4 +186,4 @@ def keep_one(docs: DataFrame, p: NearDup | None = None, id_col: str = "doc_id",
 
 def query(spark, sf_dir: str) -> DataFrame:
     """doc_id and class_id, the smallest doc_id of the documents alike, of each document."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("id").alias("doc_id"), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(F.col("id").alias("doc_id"), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))

@@ -251,6 +251,15 @@ def test_near_duplicates_share_bands_whatever_their_repeats():
     assert missed == 0
 
 
+def test_null_ids_have_near_matches(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "x"])
+    docs = frame(spark, [(None, " ".join(words)), (1, near), (2, "quite another text of some words that is longer")])
+    assert {(r["id"], r["class_id"]) for r in near_dup.near_duplicates(docs, near_dup.NearDup(block=3)).collect()} == {(None, 1), (1, 1), (2, 2)}
+    assert sorted(r["doc_id"] for r in near_dup.keep_one(docs).collect()) == [1, 2]
+    assert {r["doc_id"]: r["n_dropped_lines"] for r in line_dedup.dedup_lines(docs).collect()} == {None: 0, 1: 1, 2: 0}
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = np.random.default_rng(8)
