@@ -11,12 +11,18 @@ Featurizer = Callable[[Column], Column]
 _none = lambda: F.array().cast("array<string>")
 
 
+def windows(words: Column, k: int) -> Column:
+    """All runs of k words as structs with the fields 0 to k - 1: shifted slices side by side, so that the cost is linear in the line."""
+    runs = F.greatest(F.size(words) - (k - 1), F.lit(0))
+    if k == 1:
+        return F.transform(words, lambda w: F.struct(w.alias("0")))
+    return F.arrays_zip(*[F.slice(words, F.lit(j + 1), runs) for j in range(k)])
+
+
 def ngrams(words: Column, k: int, sep: str | None = " ") -> Column:
     """All runs of k words, joined by sep, or as arrays if sep is None."""
-    at = F.sequence(F.lit(1), F.size(words) - (k - 1))
-    one = lambda i: F.slice(words, i, F.lit(k)) if sep is None else F.array_join(F.slice(words, i, F.lit(k)), sep)
-    empty = F.array().cast("array<array<string>>") if sep is None else _none()
-    return F.when(F.size(words) >= k, F.transform(at, one)).otherwise(empty)
+    parts = lambda z: [z[str(j)] for j in range(k)]
+    return F.transform(windows(words, k), lambda z: F.array(*parts(z)) if sep is None else F.concat_ws(sep, *parts(z)))
 
 
 def context(ngram: Column) -> Column:
@@ -60,9 +66,35 @@ def union(*parts: Featurizer) -> Featurizer:
     return lambda a: F.concat(*[f(a) for f in parts])
 
 
+def cross(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f of all pairs, the second array's elements running fastest."""
+    return F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: f(x, y))))
+
+
 def product(f: Featurizer, g: Featurizer) -> Featurizer:
     """PROD(x,y) of all pairs."""
-    return lambda a: F.flatten(F.transform(f(a), lambda x: F.transform(g(a), lambda y: F.concat(F.lit("PROD("), x, F.lit(","), y, F.lit(")")))))
+    return lambda a: cross(f(a), g(a), lambda x, y: F.concat(F.lit("PROD("), x, F.lit(","), y, F.lit(")")))
+
+
+def scaled_add(a: Column, scale: Column | float, b: Column) -> Column:
+    """a + scale * b of two arrays of numbers."""
+    s = F.lit(scale) if isinstance(scale, (int, float)) else scale
+    return F.zip_with(a, b, lambda x, y: x + s * y)
+
+
+def filled(rows: int, columns: int, value: Column) -> Column:
+    """A matrix of one value."""
+    return F.array_repeat(F.array_repeat(value, columns), rows)
+
+
+def distinct(f: Featurizer) -> Featurizer:
+    """Each feature once."""
+    return lambda a: F.array_distinct(f(a))
+
+
+def identity(word: Column) -> Column:
+    """The preprocessor that changes nothing."""
+    return word
 
 
 def before(word: Callable[[Column], Column], f: Featurizer) -> Featurizer:
@@ -84,14 +116,41 @@ def bit_sign(bit: Column) -> Column:
     return F.when(bit == "1", 1).otherwise(-1)
 
 
-def pack_ids(*ids: Column) -> Column:
-    """Up to three word ids of 20 bits after a bit that is set; a missing id leaves its place empty."""
+def pack_ids(*ids: Column, bits: int = 20) -> Column:
+    """Up to three word ids of 20 bits after a bit that is set; a missing id leaves its place empty. An id beyond its bits is an error, as its key would be another's."""
     key = F.lit(1).cast("long")
     for i, c in enumerate(ids):
-        key = key + F.coalesce(F.shiftleft(c.cast("long"), 1 + 20 * i), F.lit(0).cast("long"))
+        whole = F.when(c.cast("long") >= 1 << bits, F.raise_error(F.concat(F.lit("an id is over the bits of its place: "), c.cast("string")))).otherwise(F.shiftleft(c.cast("long"), 1 + bits * i))
+        key = key + F.coalesce(whole, F.lit(0).cast("long"))
     return key
 
 
+def left_context(words: Column, size: int, start: str) -> Column:
+    """For each place the `size` words before it, the nearest first, filled with the start symbol."""
+    filled_words = F.concat(F.array_repeat(F.lit(start), size), words)
+    return F.transform(windows(filled_words, size + 1), lambda z: F.array(*[z[str(size - 1 - o)] for o in range(size)]))
+
+
+def known_ids(ids: Column) -> Column:
+    """Ids without the -1 of unknown words."""
+    return F.filter(ids, lambda x: x != -1)
+
+
+def joined_ids(ids: Column) -> Column:
+    """A sequence of ids as text."""
+    return F.array_join(ids.cast("array<string>"), "_")
+
+
+def sequence_hash(ids: Column, primes: tuple[int, ...] = (2, 3, 5, 7)) -> Column:
+    """The sum of each id and the prime of its place."""
+    table = F.array(*[F.lit(p) for p in primes])
+    return F.aggregate(F.transform(ids, lambda x, i: (x + F.element_at(table, (i % len(primes)) + 1)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def pair_hash(first: Column, second: Column) -> Column:
+    return first + 7 * second
+
+
 def product_id(first: Column, second: Column, buckets: int, base: Column | int = 0) -> Column:
     """base plus the bucket of a pair of ids that are not negative."""
     return base + F.pmod(first.cast("long") * 73856093 + second.cast("long") * 19349663, F.lit(buckets).cast("long"))
@@ -101,10 +160,24 @@ def product_name(first: Column, second: Column) -> Column:
     return F.concat(F.lit("CrossProductIndex("), first, F.lit("::::"), second, F.lit(")"))
 
 
+def hash_name(bucket: Column) -> Column:
+    return F.concat(F.lit("Hash("), bucket.cast("string"), F.lit(")"))
+
+
 def parse_product_name(name: Column) -> tuple[Column, Column]:
     return F.regexp_extract(name, r"^CrossProductIndex\((.*)::::(.*)\)$", 1), F.regexp_extract(name, r"^CrossProductIndex\((.*)::::(.*)\)$", 2)
 
 
+def parse_hash_name(name: Column) -> Column:
+    """The bucket, null for other names."""
+    return F.nullif(F.regexp_extract(name, r"^Hash\((\d+)\)$", 1), F.lit("")).cast("long")
+
+
+def bucket_count(ratio: float, pairs: int) -> int:
+    """How many hash buckets stand beside an index of pairs."""
+    return int(ratio * pairs)
+
+
 def region_id(known_id: Column, feature_hash: Column, positive: int, negative: int) -> Column:
     """Known features by their id in a first region, unknown ones by hash in a second."""
     return F.when(known_id.isNotNull(), F.pmod(known_id.cast("long"), F.lit(positive))).otherwise(positive + F.pmod(feature_hash, F.lit(negative)))

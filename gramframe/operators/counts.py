@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gramframe.functions import text as X
 from gramframe.sources import corpus as C
+from gramframe.sources.stage import cut
 
 
 def unigrams(rows: DataFrame) -> DataFrame:
@@ -31,13 +32,23 @@ def ngram_counts(rows: DataFrame, orders: tuple[int, ...] = (1, 2, 3), pad: bool
     """(n, ngram, c): orders side by side in one pass and one shuffle."""
     words = C.padded(F.col("words")) if pad else F.col("words")
     all_orders = F.concat(*[F.transform(X.ngrams(words, k), lambda g: F.struct(F.lit(k).alias("n"), g.alias("ngram"))) for k in orders])
-    return rows.select(F.explode(all_orders).alias("x")).select("x.*").groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("c"))
+    return rows.select(F.inline(all_orders)).groupBy("n", "ngram").agg(F.count(F.lit(1)).alias("c"))
 
 
-def word_columns(rows: DataFrame, k: int, skip_start: bool = False) -> DataFrame:
+def word_columns(rows: DataFrame, k: int) -> DataFrame:
     """(w1..wk, c): counts of k-grams over padded lines, a column a word."""
-    grams = rows.select(F.explode(X.ngrams(C.padded(F.col("words")), k, None)).alias("g"))
-    return grams.select(*[F.col("g")[i].alias(f"w{i + 1}") for i in range(k)]).groupBy(*[f"w{i + 1}" for i in range(k)]).agg(F.count(F.lit(1)).alias("c"))
+    names = [f"w{i + 1}" for i in range(k)]
+    return rows.select(F.inline(X.windows(C.padded(F.col("words")), k)).alias(*names)).groupBy(*names).agg(F.count(F.lit(1)).alias("c"))
+
+
+def gram_tables(rows: DataFrame, most: int = 3, least: int = 1) -> dict[int, DataFrame]:
+    """k -> (w1..wk, c) for each order from least to most, from one pass over the corpus and one shuffle, written once."""
+    names = [f"w{i + 1}" for i in range(most)]
+    word = lambda z, i, k: z[str(i)] if i < k else F.lit(None).cast("string")
+    one = lambda k: lambda z: F.struct(F.lit(k).alias("k"), *[word(z, i, k).alias(names[i]) for i in range(most)])
+    every = F.concat(*[F.transform(X.windows(C.padded(F.col("words")), k), one(k)) for k in range(least, most + 1)])
+    table = cut(rows.select(F.inline(every)).groupBy("k", *names).agg(F.count(F.lit(1)).alias("c")), "grams")
+    return {k: table.where(F.col("k") == k).select(*names[:k], "c") for k in range(least, most + 1)}
 
 
 def context_normalizers(counts: DataFrame, k: int) -> DataFrame:
@@ -97,10 +108,10 @@ def merge_runs(*runs: DataFrame, keys: tuple[str, ...] = ("suffix", "word")) ->
 
 
 def dense_ids(keys: DataFrame, key: str, *order: Column, name: str = "id") -> DataFrame:
-    """keys with ids from 0 in the given order: sorted by range, then each part's ids start where the parts before end."""
+    """keys with ids from 0 in the given order: sorted by range and written, then each part's ids start where the parts before end."""
     spark, order = keys.sparkSession, order or (F.col(key),)
     ranged = keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    placed = ranged.withColumn("spot", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)).persist()
+    placed = cut(ranged.withColumn("spot", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)), "ranged")
     sizes = {r[0]: r[1] for r in placed.groupBy("part").agg(F.count(F.lit(1))).collect()}  # a row a partition
     starts, total = {}, 0
     for part in sorted(sizes):

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramframe.functions import text as X
+from gramframe.sources.stage import cut
 
 BUCKETS = 1 << 20
+#: Words that a broadcast vocabulary may have, and contexts that one task scores against it.
+MOST_WORDS, CONTEXTS_A_TASK = 1_000_000, 20_000
 
 
 def theta_of(pid: Column) -> Column:
@@ -23,28 +26,56 @@ def pid_of(word: str = "word_id", feature: str = "fid") -> Column:
     return X.product_id(F.col(word), F.col(feature), BUCKETS)
 
 
+def bags(contexts: DataFrame) -> DataFrame:
+    """(ctx, fids): a row a context."""
+    return contexts.groupBy("ctx").agg(F.sort_array(F.collect_list("fid")).alias("fids"))
+
+
+def score_of(word: Column, fids: Column, theta=theta_of) -> Column:
+    """The parameters of a word with each of a context's features, summed."""
+    return F.aggregate(F.transform(fids, lambda f: theta(X.product_id(word, f, BUCKETS))), F.lit(0.0), lambda s, x: s + x)
+
+
 def scores(rows: DataFrame, contexts: DataFrame, theta=theta_of) -> DataFrame:
-    """rows (ctx, word_id, ...) with score: the parameters of the word with each of the context's features, summed."""
-    keys = rows.select("ctx", "word_id").distinct()
-    summed = keys.join(contexts, "ctx").groupBy("ctx", "word_id").agg(F.sum(theta(pid_of())).alias("score"))
-    return rows.join(summed, ["ctx", "word_id"])
+    """rows (ctx, word_id, ...) with score."""
+    return rows.join(bags(contexts), "ctx").withColumn("score", score_of(F.col("word_id"), F.col("fids"), theta)).drop("fids")
 
 
-def all_scores(contexts: DataFrame, vocab: DataFrame, theta=theta_of) -> DataFrame:
-    """(ctx, word_id, score) of the whole vocabulary in each distinct context: the partition function's terms. The vocabulary is cut to what a model scores."""
-    terms = contexts.join(F.broadcast(vocab.select("word_id"))).withColumn("t", theta(pid_of()))
-    return terms.groupBy("ctx", "word_id").agg(F.sum("t").alias("score"))
+def word_array(vocab: DataFrame) -> DataFrame:
+    """One row: the ids of the whole vocabulary, to be broadcast. Refuses vocabularies that have not been cut."""
+    n = vocab.count()
+    if n > MOST_WORDS:
+        raise ValueError(f"{n} words; cut the vocabulary to {MOST_WORDS} first")
+    return vocab.agg(F.sort_array(F.collect_list("word_id")).alias("words"))
 
 
-def log_partition(scored: DataFrame) -> DataFrame:
-    """(ctx, logz), by the largest score so that nothing overflows."""
-    top = scored.groupBy("ctx").agg(F.max("score").alias("top"))
-    return scored.join(top, "ctx").groupBy("ctx").agg((F.max("top") + F.ln(F.sum(F.exp(F.col("score") - F.col("top"))))).alias("logz"))
+def partitions(contexts: DataFrame, vocab: DataFrame, theta=theta_of) -> DataFrame:
+    """(ctx, fids, words, scores, logz): the whole vocabulary's scores in each distinct context, side by side in its row. Contexts are dealt
+    to tasks and meet the vocabulary there, so nothing of that size is shuffled. logz goes by the largest score, so that nothing overflows."""
+    each = cut(bags(contexts), "contexts")
+    tasks = max(each.sparkSession.sparkContext.defaultParallelism, -(-each.count() // CONTEXTS_A_TASK))
+    every = each.repartition(tasks, "ctx").join(F.broadcast(word_array(vocab)))
+    scored = every.withColumn("scores", F.transform("words", lambda w: score_of(w, F.col("fids"), theta)))
+    top = F.array_max("scores")
+    return scored.withColumn("logz", top + F.ln(F.aggregate(F.transform("scores", lambda x: F.exp(x - F.array_max("scores"))), F.lit(0.0), lambda a, x: a + x)))
+
+
+def log_partition(contexts: DataFrame, vocab: DataFrame, theta=theta_of) -> DataFrame:
+    """(ctx, fids, logz), written, as several sums need it."""
+    each = cut(bags(contexts), "contexts")
+    tasks = max(each.sparkSession.sparkContext.defaultParallelism, -(-each.count() // CONTEXTS_A_TASK))
+    every = each.repartition(tasks, "ctx").join(F.broadcast(word_array(vocab)))
+    scored = F.transform("words", lambda w: score_of(w, F.col("fids"), theta))
+    # one pass with the largest score so far and the sum relative to it
+    step = lambda a, x: F.struct(F.greatest(a["top"], x).alias("top"), (a["sum"] * F.exp(a["top"] - F.greatest(a["top"], x)) + F.exp(x - F.greatest(a["top"], x))).alias("sum"))
+    start = F.struct(F.lit(-1e300).alias("top"), F.lit(0.0).alias("sum"))
+    return cut(every.select("ctx", "fids", F.aggregate(scored, start, step, lambda a: a["top"] + F.ln(a["sum"])).alias("logz")), "logz")
 
 
 def softmax_logprob(pairs: DataFrame, contexts: DataFrame, vocab: DataFrame, theta=theta_of) -> DataFrame:
-    every = all_scores(contexts, vocab, theta)
-    return pairs.join(every, ["ctx", "word_id"]).join(log_partition(every), "ctx").withColumn("log_prob", F.col("score") - F.col("logz"))
+    z = log_partition(contexts, vocab, theta)
+    scored = pairs.join(z, "ctx").withColumn("score", score_of(F.col("word_id"), F.col("fids"), theta)).drop("fids")
+    return scored.withColumn("log_prob", F.col("score") - F.col("logz"))
 
 
 def self_normalized(pairs: DataFrame, contexts: DataFrame, vocab: DataFrame, strength: float, theta=theta_of) -> DataFrame:
@@ -53,39 +84,98 @@ def self_normalized(pairs: DataFrame, contexts: DataFrame, vocab: DataFrame, str
     return s.agg(F.sum(F.col("n") * (F.col("log_prob") - F.lit(strength / 2) * F.col("logz") * F.col("logz"))).alias("objective"), F.sum("n").cast("long").alias("n"))
 
 
+def gradient_of(weighted: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(pid, g): the weights of (ctx, word_id, w) summed over the parameters that each score has."""
+    return weighted.groupBy("ctx", "word_id").agg(F.sum("w").alias("w")).join(contexts, "ctx").groupBy(pid_of().alias("pid")).agg(F.sum("w").alias("g"))
+
+
 def self_normalized_gradient(pairs: DataFrame, contexts: DataFrame, vocab: DataFrame, strength: float, theta=theta_of) -> DataFrame:
-    """(pid, g) of that objective."""
-    every = all_scores(contexts, vocab, theta)
-    z = log_partition(every)
+    """(pid, g) of that objective. The model's part is summed by parameter where the scores are made."""
     seen = pairs.groupBy("ctx").agg(F.sum("n").alias("m"))
-    model = every.join(z, "ctx").join(seen, "ctx").select("ctx", "word_id", (-F.col("m") * F.exp(F.col("score") - F.col("logz")) * (1 + strength * F.col("logz"))).alias("w"))
-    data = pairs.select("ctx", "word_id", F.col("n").cast("double").alias("w"))
-    both = data.unionByName(model).groupBy("ctx", "word_id").agg(F.sum("w").alias("w"))
-    return both.join(contexts, "ctx").groupBy(pid_of().alias("pid")).agg(F.sum("w").alias("g"))
+    every = partitions(contexts, vocab, theta).join(seen, "ctx")
+    model = every.select("fids", (-F.col("m") * (1 + strength * F.col("logz"))).alias("m"), "logz", F.inline(F.arrays_zip("words", "scores")).alias("word_id", "score"))
+    model = model.select(F.explode("fids").alias("fid"), "word_id", (F.col("m") * F.exp(F.col("score") - F.col("logz"))).alias("w")).groupBy(pid_of().alias("pid")).agg(F.sum("w").alias("g"))
+    data = gradient_of(pairs.select("ctx", "word_id", F.col("n").cast("double").alias("w")), contexts)
+    return data.unionByName(model).groupBy("pid").agg(F.sum("g").alias("g"))
+
+
+def nce_terms(pairs: DataFrame, noise: DataFrame, contexts: DataFrame, vocab: DataFrame, k: int, theta=theta_of) -> DataFrame:
+    """(ctx, word_id, n, is_data, logit) of data and noise. noise: (ctx, word_id, j, noise_id); vocab: (word_id, q) with the noise distribution."""
+    data = pairs.select("ctx", "word_id", "n", F.lit(True).alias("is_data"))
+    drawn = noise.join(pairs, ["ctx", "word_id"]).select("ctx", F.col("noise_id").alias("word_id"), "n", F.lit(False).alias("is_data"))
+    both = scores(data.unionByName(drawn), contexts, theta).join(vocab, "word_id")
+    return both.select("ctx", "word_id", "n", "is_data", (F.col("score") - F.ln(F.lit(float(k))) - F.ln("q")).alias("logit"))
 
 
 def nce(pairs: DataFrame, noise: DataFrame, contexts: DataFrame, vocab: DataFrame, k: int, theta=theta_of) -> DataFrame:
-    """One row: noise-contrastive objective. noise: (ctx, word_id, j, noise_id); vocab: (word_id, q) with the noise distribution."""
-    logit = lambda: F.col("score") - F.ln(F.lit(float(k))) - F.ln("q")
-    data = scores(pairs, contexts, theta).join(vocab, "word_id").agg(F.sum(-F.col("n") * X.softplus(-logit())).alias("a"))
-    drawn = noise.join(pairs, ["ctx", "word_id"]).select("ctx", F.col("noise_id").alias("word_id"), "n")
-    wrong = scores(drawn, contexts, theta).join(vocab, "word_id").agg(F.sum(-F.col("n") * X.softplus(logit())).alias("b"))
-    return data.join(F.broadcast(wrong)).select((F.col("a") + F.col("b")).alias("objective"))
+    """One row: the noise-contrastive objective."""
+    sign = F.when(F.col("is_data"), -1.0).otherwise(1.0)
+    return nce_terms(pairs, noise, contexts, vocab, k, theta).agg(F.sum(-F.col("n") * X.softplus(sign * F.col("logit"))).alias("objective"))
+
+
+def nce_gradient(pairs: DataFrame, noise: DataFrame, contexts: DataFrame, vocab: DataFrame, k: int, theta=theta_of) -> DataFrame:
+    """(pid, g): data weigh 1 - p, noise -p, p the probability of being data."""
+    p = X.sigmoid(F.col("logit"))
+    terms = nce_terms(pairs, noise, contexts, vocab, k, theta)
+    return gradient_of(terms.select("ctx", "word_id", (F.col("n") * (F.when(F.col("is_data"), 1.0).otherwise(0.0) - p)).alias("w")), contexts)
+
+
+def candidates(pairs: DataFrame, noise: DataFrame) -> DataFrame:
+    """(ctx, of, word_id, n, is_data): each pair's own word and its noise."""
+    own = pairs.select("ctx", F.col("word_id").alias("of"), "word_id", "n", F.lit(True).alias("is_data"))
+    drawn = noise.join(pairs, ["ctx", "word_id"]).select("ctx", F.col("word_id").alias("of"), F.col("noise_id").alias("word_id"), "n", F.lit(False).alias("is_data"))
+    return own.unionByName(drawn)
+
+
+def sampled_objective(scored: DataFrame) -> DataFrame:
+    """One row, of candidates with score: the word's score less the log of the sum of exp over it and its noise."""
+    each = scored.groupBy("ctx", "of").agg(F.max(F.when(F.col("is_data"), F.col("score"))).alias("own"), F.max("n").alias("n"), F.sum(F.exp("score")).alias("z"))
+    return each.agg(F.sum(F.col("n") * (F.col("own") - F.ln("z"))).alias("objective"))
+
+
+def sampled_weights(scored: DataFrame) -> DataFrame:
+    """candidates with w, the derivative of that objective by their score."""
+    z = scored.groupBy("ctx", "of").agg(F.sum(F.exp("score")).alias("z"))
+    return scored.join(z, ["ctx", "of"]).withColumn("w", F.col("n") * (F.when(F.col("is_data"), 1.0).otherwise(0.0) - F.exp("score") / F.col("z")))
 
 
 def sampled_softmax(pairs: DataFrame, noise: DataFrame, contexts: DataFrame, theta=theta_of) -> DataFrame:
-    """One row: score less the log of the sum of exp over the word and its noise."""
-    own = scores(pairs, contexts, theta)
-    drawn = scores(noise.select("ctx", F.col("word_id").alias("of"), F.col("noise_id").alias("word_id")), contexts, theta).select("ctx", F.col("of").alias("word_id"), F.exp("score").alias("e"))
-    total = drawn.unionByName(own.select("ctx", "word_id", F.exp("score").alias("e"))).groupBy("ctx", "word_id").agg(F.sum("e").alias("z"))
-    return own.join(total, ["ctx", "word_id"]).agg(F.sum(F.col("n") * (F.col("score") - F.ln("z"))).alias("objective"))
+    return sampled_objective(scores(candidates(pairs, noise), contexts, theta))
+
+
+def sampled_softmax_gradient(pairs: DataFrame, noise: DataFrame, contexts: DataFrame, theta=theta_of) -> DataFrame:
+    """(pid, g) of it."""
+    return gradient_of(sampled_weights(scores(candidates(pairs, noise), contexts, theta)).select("ctx", "word_id", "w"), contexts)
+
+
+def low_rank_sums(rows: DataFrame, contexts: DataFrame, rank: int, theta=theta_of) -> DataFrame:
+    """rows (ctx, word_id, ...) with fids, x (the sum of the active features' vectors, `rank` parameters each) and score, its squared length."""
+
+    def one(k: int) -> Column:
+        return F.aggregate(F.transform("fids", lambda f: theta(X.product_id(F.col("word_id"), f, BUCKETS) * rank + k)), F.lit(0.0), lambda s, v: s + v)
+
+    x = F.array(*map(one, range(rank)))
+    return rows.join(bags(contexts), "ctx").withColumn("x", x).withColumn("score", F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
 
 
 def low_rank_scores(pairs: DataFrame, contexts: DataFrame, rank: int, theta=theta_of) -> DataFrame:
-    """pairs with score: the squared length of the sum of the active features' vectors, `rank` parameters each."""
-    dims = F.explode(F.sequence(F.lit(0), F.lit(rank - 1))).alias("k")
-    parts = pairs.join(contexts, "ctx").select("ctx", "word_id", pid_of().alias("pid"), dims).groupBy("ctx", "word_id", "k").agg(F.sum(theta(F.col("pid") * rank + F.col("k"))).alias("x"))
-    return parts.groupBy("ctx", "word_id").agg(F.sum(F.col("x") * F.col("x")).alias("score"))
+    return low_rank_sums(pairs, contexts, rank, theta).select("ctx", "word_id", "score")
+
+
+def low_rank(pairs: DataFrame, noise: DataFrame, contexts: DataFrame, rank: int, theta=theta_of) -> DataFrame:
+    """One row: the sampled objective with those scores."""
+    return sampled_objective(low_rank_sums(candidates(pairs, noise), contexts, rank, theta))
+
+
+def low_rank_gradient(pairs: DataFrame, noise: DataFrame, contexts: DataFrame, rank: int, theta=theta_of) -> DataFrame:
+    """(pid, g): pid is a feature's times the rank plus the dimension; a score's derivative by each active vector is twice the sum."""
+    w = sampled_weights(low_rank_sums(candidates(pairs, noise), contexts, rank, theta))
+    parts = w.select("word_id", "w", F.explode("fids").alias("fid"), "x").select(pid_of().alias("p"), "w", F.posexplode("x").alias("k", "v"))
+    return parts.groupBy((F.col("p") * rank + F.col("k")).alias("pid")).agg(F.sum(2 * F.col("w") * F.col("v")).alias("g"))
+
+
+def num_params(features: int, rank: int = 1) -> int:
+    return features * rank
 
 
 def decisions(codes: DataFrame) -> DataFrame:
@@ -97,9 +187,8 @@ def hierarchical_terms(pairs: DataFrame, contexts: DataFrame, codes: DataFrame,
     """(ctx, word_id, n, node_id, sign, dot): dot sums a node's parameters, and those of the node 0 of all decisions, over the context's features."""
     dec = decisions(codes).join(nodes, "node").select("word_id", "sign", "node_id")
     asked = pairs.join(dec, "word_id")
-    dots = asked.select("ctx", "node_id").distinct().join(contexts, "ctx")
-    value = theta(pid_of("node_id")) + (theta(X.product_id(F.lit(0), F.col("fid"), BUCKETS)) if const else F.lit(0.0))
-    return asked.join(dots.groupBy("ctx", "node_id").agg(F.sum(value).alias("dot")), ["ctx", "node_id"])
+    dot = score_of(F.col("node_id"), F.col("fids"), theta)
+    return asked.join(bags(contexts), "ctx").withColumn("dot", dot + score_of(F.lit(0), F.col("fids"), theta) if const else dot).drop("fids")
 
 
 def hierarchical_scores(pairs: DataFrame, contexts: DataFrame, codes: DataFrame, nodes: DataFrame, theta=theta_of) -> DataFrame:
@@ -108,8 +197,14 @@ def hierarchical_scores(pairs: DataFrame, contexts: DataFrame, codes: DataFrame,
     return t.groupBy("ctx", "word_id").agg(F.sum(-X.softplus(F.col("sign") * F.col("dot"))).alias("log_prob"))
 
 
-def hierarchical_gradient(pairs: DataFrame, contexts: DataFrame, codes: DataFrame, nodes: DataFrame, theta=theta_of) -> DataFrame:
-    """(pid, g) of the log-likelihood."""
-    t = hierarchical_terms(pairs, contexts, codes, nodes, theta).select("ctx", "node_id", (-F.col("n") * F.col("sign") * X.sigmoid(F.col("sign") * F.col("dot"))).alias("w")).groupBy("ctx", "node_id").agg(F.sum("w").alias("w"))
-    both = t.unionByName(t.groupBy("ctx").agg(F.sum("w").alias("w")).withColumn("node_id", F.lit(0).cast("long")))
+def hierarchical_objective(pairs: DataFrame, contexts: DataFrame, codes: DataFrame, nodes: DataFrame, theta=theta_of, const: bool = True) -> DataFrame:
+    """One row: the log-likelihood of words that have a code."""
+    t = hierarchical_terms(pairs, contexts, codes, nodes, theta, const)
+    return t.agg(F.sum(-F.col("n") * X.softplus(F.col("sign") * F.col("dot"))).alias("objective"))
+
+
+def hierarchical_gradient(pairs: DataFrame, contexts: DataFrame, codes: DataFrame, nodes: DataFrame, theta=theta_of, const: bool = True) -> DataFrame:
+    """(pid, g) of the log-likelihood; without const there is no node of all decisions."""
+    t = hierarchical_terms(pairs, contexts, codes, nodes, theta, const).select("ctx", "node_id", (-F.col("n") * F.col("sign") * X.sigmoid(F.col("sign") * F.col("dot"))).alias("w")).groupBy("ctx", "node_id").agg(F.sum("w").alias("w"))
+    both = t.unionByName(t.groupBy("ctx").agg(F.sum("w").alias("w")).withColumn("node_id", F.lit(0).cast("long"))) if const else t
     return both.join(contexts, "ctx").groupBy(pid_of("node_id").alias("pid")).agg(F.sum("w").alias("g"))

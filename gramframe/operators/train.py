@@ -1,4 +1,5 @@
-"""Minibatch training of the self-normalised model: parameters on the driver, gradients summed by Spark."""
+"""Minibatch training of the self-normalised model. Parameters are hashed to a fixed number of buckets, so that they fit the driver and
+each task whatever the corpus; gradients are summed by Spark."""
 
 from __future__ import annotations
 
@@ -6,9 +7,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gramframe.operators import loglinear
+from gramframe.sources.stage import cut, task
+
+#: Scores that a task holds at a time.
+CELLS = 2_000_000
+
 
 @dataclass(frozen=True)
 class Training:
@@ -24,51 +32,82 @@ class Training:
     monitor_every: int = 10
 
 
-def _partials(theta: np.ndarray, n_words: int, normalizer: float):
-    """Log-likelihood and gradient of a partition's (features, word_id, n), as sparse rows; row -1 has the likelihood."""
+def product_ids(words: np.ndarray, fids: np.ndarray) -> np.ndarray:
+    """Parameter ids of all words with each feature, as loglinear.pid_of gives them."""
+    return (words[None, :] * 73856093 + fids[:, None] * 19349663) % loglinear.BUCKETS
 
-    def run(batches):
-        import pandas as pd
 
-        grad, ll = np.zeros_like(theta), 0.0
+def _partials(theta, words: np.ndarray, normalizer: float):
+    """Log-likelihood and gradient of a partition of (fids, seen, n), a context a row; the row -1 has the likelihood."""
+
+    def run(batches):
+        value, grad, ll = theta.value, np.zeros(loglinear.BUCKETS), 0.0
+        place = {int(w): i for i, w in enumerate(words)}
         for batch in batches:
-            for feats, word, n in zip(batch["features"], batch["word_id"], batch["n"]):
-                feats = np.asarray(feats)
-                s = theta[feats].sum(0)
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            for fids, seen, counts in rows:
+                ids = product_ids(words, np.asarray(fids, np.int64))
+                s = value[ids].sum(0)
                 top = s.max()
                 z = top + np.log(np.exp(s - top).sum())
-                ll += n * (s[word] - z - normalizer / 2 * z * z)
-                g = -np.exp(s - z) * (1 + normalizer * z)
-                g[word] += 1
-                grad[feats] += n * g
-        at = np.flatnonzero(grad)
-        yield pd.DataFrame({"i": np.append(at, -1), "g": np.append(grad.ravel()[at], ll)})
+                at, n = np.array([place[w] for w in seen]), np.asarray(counts, float)
+                ll += float((n * (s[at] - z - normalizer / 2 * z * z)).sum())
+                g = -n.sum() * np.exp(s - z) * (1 + normalizer * z)
+                np.add.at(g, at, n)
+                for row in ids:
+                    np.add.at(grad, row, g)
+        some = np.flatnonzero(grad)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(grad[some], ll))], ["i", "g"])
 
     return run
 
 
-def sgd(data: DataFrame, n_words: int, n_features: int, p: Training, monitor: Callable[[int, float], None] | None = None) -> tuple[np.ndarray, list[float]]:
-    """data: (group_id, features array<int>, word_id, n). Returns the parameters (features x words) and each step's mean log-likelihood."""
-    data = data.persist()
-    groups = sorted(r[0] for r in data.select("group_id").distinct().collect())
-    rng, theta = np.random.default_rng(p.seed), np.zeros((n_features, n_words))
-    seen, history = np.full_like(theta, 1e-8), []
+def sgd(data: DataFrame, contexts: DataFrame, vocab: DataFrame, p: Training, monitor: Callable[[int, float, float], None] | None = None) -> tuple[np.ndarray, list[float]]:
+    """data: (group_id, ctx, word_id, n); contexts: (ctx, fid). Returns the parameters by id and each step's mean log-likelihood.
+
+    A step takes batch_groups groups, or all if there are fewer. monitor gets the step, the mean log-likelihood and the perplexity that
+    it stands for, each monitor_every steps."""
+    spark = data.sparkSession
+    data, bags = cut(data, "examples"), cut(loglinear.bags(contexts), "bags")
+    words = np.array(loglinear.word_array(vocab).first()[0], np.int64)
+    groups = sorted(r[0] for r in data.select("group_id").distinct().collect())  # an id a group of lines
+    rng, theta = np.random.default_rng(p.seed), np.zeros(loglinear.BUCKETS)
+    seen, history = np.full(loglinear.BUCKETS, 1e-8), []
     for step in range(p.steps):
-        batch = [int(g) for g in rng.choice(groups, min(p.batch_groups, len(groups)), replace=False)]
-        rows = data.where(F.col("group_id").isin(batch)) if len(batch) < len(groups) else data
-        n = rows.agg(F.sum("n")).first()[0]
-        summed = rows.mapInPandas(_partials(theta, n_words, p.normalizer), "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()
-        grad = np.zeros(theta.size)
-        ll = float(summed["g"][summed["i"] < 0].sum())
-        keep = summed["i"] >= 0
+        with task(spark, f"training step {step}"):
+            batch = groups
+            if p.batch_groups < len(groups):
+                batch = sorted(int(g) for g in rng.choice(groups, p.batch_groups, replace=False))
+            chosen = spark.createDataFrame([(g,) for g in batch], "group_id long")
+            rows = data.join(F.broadcast(chosen), "group_id", "left_semi") if len(batch) < len(groups) else data
+            each = rows.groupBy("ctx", "word_id").agg(F.sum("n").alias("n")).groupBy("ctx").agg(F.collect_list("word_id").alias("seen"), F.collect_list("n").alias("n"))
+            n = rows.agg(F.sum("n")).first()[0]
+            now = spark.sparkContext.broadcast(theta)
+            dealt = each.join(bags, "ctx").select("fids", "seen", "n").repartition(spark.sparkContext.defaultParallelism)
+            summed = dealt.mapInArrow(_partials(now, words, p.normalizer), "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()  # at most a row a bucket
+            now.destroy()
+        grad, keep = np.zeros(loglinear.BUCKETS), summed["i"] >= 0
+        ll = float(summed["g"][~keep].sum())
         grad[summed["i"][keep].to_numpy()] = summed["g"][keep].to_numpy()
-        grad = grad.reshape(theta.shape) / n - (0 if p.l1 else p.l2 * theta / n)
+        grad = grad / n - (0 if p.l1 else p.l2 * theta / n)
         seen += grad**2
         theta = theta + p.rate * grad / np.sqrt(seen)
         if p.l1:
             theta = np.sign(theta) * np.maximum(np.abs(theta) - p.rate * p.l2 / n / np.sqrt(seen), 0)
         history.append(ll / n)
         if monitor and step % p.monitor_every == 0:
-            monitor(step, ll / n)
-    data.unpersist()
+            monitor(step, ll / n, float(np.exp(-ll / n)))
     return theta, history
+
+
+def parameters(spark, theta: np.ndarray) -> DataFrame:
+    """(pid, weight) of parameters that are not zero."""
+    at = np.flatnonzero(theta)
+    return spark.createDataFrame(pa.table({"pid": at, "weight": theta[at]}))
+
+
+def unnormalized_scores(pairs: DataFrame, contexts: DataFrame, weights: DataFrame) -> DataFrame:
+    """pairs (ctx, word_id, ...) with score: the sum of their parameters, without the partition function; parameters that have no weight are zero."""
+    each = pairs.select("ctx", "word_id").distinct().join(contexts, "ctx").select("ctx", "word_id", loglinear.pid_of().alias("pid"))
+    summed = each.join(weights, "pid", "left").groupBy("ctx", "word_id").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("score"))
+    return pairs.join(summed, ["ctx", "word_id"])

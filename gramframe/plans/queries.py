@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +10,10 @@ from gramframe.functions import text as X
 from gramframe.operators import counts as N
 from gramframe.operators import huffman, loglinear, smoothing, train
 from gramframe.sources import corpus as C
+from gramframe.sources.stage import BROADCAST_ROWS, cut, sized, spread
 
 #: Least counts of vocabulary words (more than) and features (at least) in the queries, and strength of the (log Z)^2 penalty.
-MIN_WORD, MIN_FEATURE, STRENGTH, NOISE, SLOTS = 500, 500, 0.1, 3, 10_000
+MIN_WORD, MIN_FEATURE, STRENGTH, NOISE, SLOTS = 100, 5, 0.1, 3, 10_000
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -31,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.tokenized(table(spark, sf_dir).select("doc_id", "text"))
+    return C.tokenized(spread(table(spark, sf_dir).select("doc_id", "text")))
 
 
 def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +43,8 @@ def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exploded(rows: DataFrame, k: int) -> DataFrame:
     """(doc_id, line_no, pos, w1..wk) of each k-gram of padded lines."""
-    g = rows.select("doc_id", "line_no", F.posexplode(X.ngrams(C.padded(F.col("words")), k, None)).alias("pos", "g"))
-    return g.select("doc_id", "line_no", "pos", *[F.col("g")[i].alias(f"w{i + 1}") for i in range(k)])
+    g = rows.select("doc_id", "line_no", F.posexplode(X.windows(C.padded(F.col("words")), k)).alias("pos", "g"))
+    return g.select("doc_id", "line_no", "pos", *[F.col("g")[str(i)].alias(f"w{i + 1}") for i in range(k)])
 
 
 def rounded(c: str | Column, digits: int = 6) -> Column:
@@ -136,7 +138,9 @@ TRI_SCORE = f"""s AS (SELECT h3.*, CASE WHEN t1.t1 IS NULL OR h3.w3 = '<s>' THEN
 @query(f"{BASE}, {TRI} SELECT total, (SELECT count(*) FROM n2) AS bigram_types, (SELECT count(*) FROM n3) AS trigram_types, (SELECT CAST(sum(n2) AS BIGINT) FROM nn2) AS trigram_endings, (SELECT CAST(sum(f2) AS BIGINT) FROM f2) AS followers FROM tot")
 def trigram_lm_stats(spark, sf_dir):
     m = smoothing.trigram_model(corpus(spark, sf_dir))
-    parts = [m.total, m.c2.agg(F.count(F.lit(1)).alias("bigram_types")), m.c3.agg(F.count(F.lit(1)).alias("trigram_types")), m.n2.agg(F.sum("n2").cast("long").alias("trigram_endings")), m.f2.agg(F.sum("f2").cast("long").alias("followers"))]
+    rows = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    # trigrams around a word and followers of a pair, summed over all of them, are the distinct trigrams with and without line starts
+    parts = [m.total, rows(m.c2, "bigram_types"), rows(m.c3, "trigram_types"), rows(m.types, "trigram_endings"), rows(m.c3, "followers")]
     out = parts[0]
     for one_row in parts[1:]:
         out = out.join(F.broadcast(one_row))
@@ -187,17 +191,14 @@ def kn_perplexity(spark, sf_dir):
     return smoothing.perplexity(_kn_scored(spark, sf_dir)).select("n", rounded("perplexity", 4).alias("perplexity"))
 
 
-NORM_WORDS = f"hv AS (SELECT x.w1, x.w2, y.w1 AS w3 FROM (SELECT DISTINCT w1, w2 FROM h3) x, (SELECT w1 FROM n1 WHERE c > {MIN_WORD}) y)"
-
-
-@query(f"{BASE}, {KN}, {HELD}, {NORM_WORDS}, {_kn_score('hv')} SELECT w1, w2, round(sum(p), 6) AS total FROM k GROUP BY ALL")
+@query(f"""{BASE}, {KN}, {HELD}, hx AS (SELECT DISTINCT w1, w2 FROM h3),
+top AS (SELECT w1, w2, sum((c - {D}) / v) AS x FROM n3 JOIN norm3 USING (w1, w2) GROUP BY ALL), mid AS (SELECT w2, sum((cont2.v - {D}) / cnorm2.v) AS x FROM cont2 JOIN cnorm2 USING (w2) GROUP BY ALL), low AS (SELECT sum((cont1.v - {D}) / cnorm1.v) AS x FROM cont1, cnorm1)
+SELECT hx.w1, hx.w2, round(coalesce(top.x, 0) + CASE WHEN nm.v IS NULL THEN 1 ELSE {D} * f2.v / nm.v END * (coalesce(mid.x, 0) + CASE WHEN cn2.v IS NULL THEN 1 ELSE {D} * f1.v / cn2.v END * low.x), 6) AS total
+FROM hx LEFT JOIN top USING (w1, w2) LEFT JOIN mid USING (w2) LEFT JOIN norm3 nm ON nm.w1 = hx.w1 AND nm.w2 = hx.w2 LEFT JOIN foll2 f2 ON f2.w1 = hx.w1 AND f2.w2 = hx.w2 LEFT JOIN cnorm2 cn2 ON cn2.w2 = hx.w2 LEFT JOIN foll1 f1 ON f1.w1 = hx.w2, low""")
 def kn_normalization(spark, sf_dir):
-    """The probability that frequent words take in each held-out context."""
-    rows = corpus(spark, sf_dir)
-    m = smoothing.kneser_ney(rows)
+    """The probability that all words take together in each held-out context; SQL adds up word by word."""
     contexts = exploded(held_out(spark, sf_dir), 3).select("w1", "w2").distinct()
-    words = m.grams[1].where(F.col("c") > MIN_WORD).select(F.col("w1").alias("w3"))
-    return smoothing.kneser_ney_score(contexts.join(F.broadcast(words)), m).groupBy("w1", "w2").agg(rounded(F.sum("p")).alias("total"))
+    return smoothing.kneser_ney_mass(contexts, smoothing.kneser_ney(corpus(spark, sf_dir))).select("w1", "w2", rounded("total").alias("total"))
 
 
 @query(f"{BASE}, {_grams(3)}, {_typed(3)}, {HELD} SELECT h3.doc_id, h3.line_no, CAST(pos AS BIGINT) AS pos, coalesce(CAST(c AS DOUBLE), 0.001) AS p, round(ln(coalesce(CAST(c AS DOUBLE), 0.001)), 6) AS log_prob FROM h3 LEFT JOIN n3 USING (w1, w2, w3)")
@@ -230,21 +231,28 @@ def vocab_index(spark, sf_dir):
     return vocabulary(corpus(spark, sf_dir))
 
 
-@query(f"{BASE}, {VOCAB}, {_grams(3)} SELECT g3.doc_id, g3.line_no, CAST(pos AS BIGINT) AS pos, 1 + coalesce(a.word_id << 1, 0) + coalesce(b.word_id << 21, 0) + coalesce(d.word_id << 41, 0) AS key FROM g3 LEFT JOIN v a ON a.word = w1 LEFT JOIN v b ON b.word = w2 LEFT JOIN v d ON d.word = w3")
+ALL_WORDS = VOCAB.replace(f" HAVING count(*) > {MIN_WORD}", "").replace("v AS", "av AS", 1)
+
+
+@query(f"{BASE}, {ALL_WORDS}, {_grams(3)} SELECT g3.doc_id, g3.line_no, CAST(pos AS BIGINT) AS pos, 1 + coalesce(a.word_id << 1, 0) + coalesce(b.word_id << 21, 0) + coalesce(d.word_id << 41, 0) AS key FROM g3 LEFT JOIN av a ON a.word = w1 LEFT JOIN av b ON b.word = w2 LEFT JOIN av d ON d.word = w3")
 def packed_keys(spark, sf_dir):
+    """Of all trigrams, by ids of all words; only the line's marks have none. Ids are found once a word, before lines are cut into trigrams."""
     rows = corpus(spark, sf_dir)
-    g, ids = exploded(rows, 3), vocabulary(rows)
-    for i in (1, 2, 3):
-        g = g.join(ids.select(F.col("word").alias(f"w{i}"), F.col("word_id").alias(f"i{i}")), f"w{i}", "left")
-    return g.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("pos").cast("long").alias("pos"), X.pack_ids(F.col("i1"), F.col("i2"), F.col("i3")).alias("key"))
+    counts = cut(N.unigrams(rows), "unigrams")
+    ids = N.dense_ids(counts, "word", F.desc("c"), F.col("word"), name="word_id").select("word", "word_id")
+    words = rows.select("doc_id", "line_no", F.posexplode(C.padded(F.col("words"))).alias("at", "word"))
+    found = words.join(sized(ids), "word", "left").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("at", F.col("word_id").alias("id")))).alias("line"))
+    g = found.select("doc_id", "line_no", F.posexplode(X.windows(F.col("line.id"), 3)).alias("pos", "g"))
+    return g.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("pos").cast("long").alias("pos"), X.pack_ids(*[F.col("g")[str(i)] for i in range(3)]).alias("key"))
 
 
 def _feature_rows(spark, sf_dir, featurizer, k: int = 4) -> DataFrame:
-    g = held_out(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.posexplode(X.ngrams(C.padded(F.col("words")), k, None)).alias("pos", "g"))
+    """Features of each n-gram of the corpus."""
+    g = corpus(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.posexplode(X.ngrams(C.padded(F.col("words")), k, None)).alias("pos", "g"))
     return g.select("doc_id", "line_no", F.col("pos").cast("long").alias("pos"), F.array_join(featurizer(F.col("g")), " ").alias("features"))
 
 
-H4 = f"{BASE}, {HELD}, {_grams(4, 'hpd', 'h4')}"
+H4 = f"{BASE}, {_grams(4, 'pd', 'h4')}"
 HEAD = "SELECT doc_id, line_no, CAST(pos AS BIGINT) AS pos,"
 
 
@@ -296,12 +304,12 @@ def _bigrams(rows: DataFrame) -> DataFrame:
     return N.word_columns(rows, 2).withColumn("g", F.array("w1", "w2"))
 
 
-def _feature_counts(rows: DataFrame) -> DataFrame:
-    return N.feature_counts(_bigrams(rows), _features, weight=F.col("c"))
+def _feature_counts(rows: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    return N.feature_counts(_bigrams(rows) if grams is None else grams, _features, weight=F.col("c"))
 
 
-def _feature_ids(rows: DataFrame) -> DataFrame:
-    return N.dense_ids(N.feature_cut(_feature_counts(rows), MIN_FEATURE), "feature", F.desc("c"), F.col("feature"), name="fid")
+def _feature_ids(rows: DataFrame, grams: DataFrame | None = None) -> DataFrame:
+    return N.dense_ids(N.feature_cut(_feature_counts(rows, grams), MIN_FEATURE), "feature", F.desc("c"), F.col("feature"), name="fid")
 
 
 @query(f"{BASE}, {FEATS} SELECT feature, c FROM fc")
@@ -329,16 +337,33 @@ def feature_means(spark, sf_dir):
 PAIRS = """x AS (SELECT word_id, fid, e.c FROM (SELECT w1, w2, c, unnest(['CONST', 'NGRAM__' || w1]) AS feature FROM n2) e JOIN v ON v.word = w2 JOIN f ON f.feature = e.feature)"""
 
 
-def _context_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of the log-linear queries: pairs (ctx, word_id, n), contexts (ctx, fid) and the vocabulary. ctx is the id of the word feature, -1 without one."""
-    vocab, feats = vocabulary(rows), _feature_ids(rows)
-    word = feats.select(F.col("feature").alias("own"), F.col("fid").alias("ctx"))
-    g = N.word_columns(rows, 2).withColumn("own", F.concat(F.lit("NGRAM__"), "w1")).join(word, "own", "left").join(vocab.select(F.col("word").alias("w2"), "word_id"), "w2")
-    pairs = g.groupBy(F.coalesce("ctx", F.lit(-1)).alias("ctx"), "word_id").agg(F.sum("c").alias("n"))
+def contexts_of(rows: DataFrame, feats: DataFrame) -> DataFrame:
+    """rows (own, ...) with ctx: the id of the word feature, -1 if it is not indexed."""
+    return rows.join(feats.select(F.col("feature").alias("own"), F.col("fid").alias("of_own")), "own", "left").withColumn("ctx", F.coalesce("of_own", F.lit(-1).cast("long"))).drop("own", "of_own")
+
+
+def _feature_bags(ctx: DataFrame, feats: DataFrame) -> DataFrame:
+    """(ctx, fid): the constant and, where there is one, the word feature of each context."""
     const = feats.where("feature = 'CONST'").select(F.col("fid").alias("const"))
-    ctx = pairs.select("ctx").distinct().join(F.broadcast(const))
-    contexts = ctx.select("ctx", F.explode(F.when(F.col("ctx") < 0, F.array("const")).otherwise(F.array("const", "ctx"))).alias("fid"))
-    return pairs, contexts, vocab
+    both = ctx.join(F.broadcast(const))
+    return both.select("ctx", F.explode(F.when(F.col("ctx") < 0, F.array("const")).otherwise(F.array("const", "ctx"))).alias("fid"))
+
+
+def _context_model(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of the log-linear queries: pairs (ctx, word_id, n), contexts (ctx, fid), the vocabulary and the features.
+
+    The corpus is counted once; vocabulary, features and pairs come from its bigrams, in which each word follows something once a token."""
+    grams = cut(_bigrams(rows), "bigrams")
+    words = grams.where(F.col("w2") != C.STOP).groupBy(F.col("w2").alias("word")).agg(F.sum("c").alias("c"))
+    vocab = N.dense_ids(N.vocab_cut(words, MIN_WORD), "word", F.desc("c"), F.col("word"), name="word_id")
+    feats = _feature_ids(rows, grams)
+    g = grams.withColumn("own", F.concat(F.lit("NGRAM__"), "w1")).join(sized(vocab.select(F.col("word").alias("w2"), "word_id")), "w2")
+    pairs = cut(contexts_of(g, feats).groupBy("ctx", "word_id").agg(F.sum("c").alias("n")), "pairs")
+    return pairs, _feature_bags(pairs.select("ctx").distinct(), feats), vocab, feats
+
+
+def _context_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return _context_model(rows)[:3]
 
 
 @query(f"{BASE}, {VOCAB}, {FEATS}, {PAIRS} SELECT word_id, fid, row_number() OVER (ORDER BY word_id, fid) - 1 AS pid FROM (SELECT DISTINCT word_id, fid FROM x)")
@@ -359,10 +384,9 @@ def hashed_product_index(spark, sf_dir):
 @query(f"{BASE}, {VOCAB}, {FEATS}, {PAIRS} SELECT 'CrossProductIndex(' || v.word || '::::' || f.feature || ')' AS name, round(th, 6) AS weight FROM (SELECT DISTINCT word_id, fid, CAST(((word_id * 73856093 + fid * 19349663) % 1048576 * 37) % 101 - 50 AS DOUBLE) / 500 AS th FROM x) JOIN v USING (word_id) JOIN f USING (fid) WHERE th <> 0")
 def weight_dump(spark, sf_dir):
     """Names and weights of the parameters that are not zero."""
-    rows = corpus(spark, sf_dir)
-    pairs, contexts, vocab = _context_pairs(rows)
+    pairs, contexts, vocab, feats = _context_model(corpus(spark, sf_dir))
     found = pairs.join(contexts, "ctx").select("word_id", "fid").distinct().withColumn("weight", loglinear.theta_of(loglinear.pid_of())).where("weight <> 0")
-    return found.join(vocab, "word_id").join(_feature_ids(rows).select("fid", "feature"), "fid").select(X.product_name(F.col("word"), F.col("feature")).alias("name"), rounded("weight").alias("weight"))
+    return found.join(vocab, "word_id").join(feats.select("fid", "feature"), "fid").select(X.product_name(F.col("word"), F.col("feature")).alias("name"), rounded("weight").alias("weight"))
 
 
 TH = lambda p: f"CAST((({p}) % 1048576 * 37) % 101 - 50 AS DOUBLE) / 500"
@@ -377,13 +401,20 @@ SM = f"{BASE}, {VOCAB}, {FEATS}, {SOFT}"
 @query(f"{SM} SELECT ctx, round(logz, 6) AS logz FROM z")
 def partition_logz(spark, sf_dir):
     _, contexts, vocab = _context_pairs(corpus(spark, sf_dir))
-    return loglinear.log_partition(loglinear.all_scores(contexts, vocab)).select("ctx", rounded("logz").alias("logz"))
+    return loglinear.log_partition(contexts, vocab).select("ctx", rounded("logz").alias("logz"))
 
 
-@query(f"{SM} SELECT round(avg(abs(logz)), 6) AS mean_abs_logz FROM z")
+@query(f"""{SM}, o AS (SELECT w FROM pd ORDER BY doc_id, line_no LIMIT 300), ap AS (SELECT coalesce(f.fid, -1) AS ctx FROM (SELECT unnest(w[1 : len(w) - 2]) AS w1 FROM o) LEFT JOIN f ON f.feature = 'NGRAM__' || w1),
+ak AS (SELECT DISTINCT ctx, cf.fid FROM ap, cf UNION ALL SELECT DISTINCT ctx, ctx FROM ap WHERE ctx >= 0), az AS (SELECT ctx, ln(sum(exp(score))) AS logz FROM (SELECT ctx, v.word_id, sum({TH('v.word_id * 73856093 + fid * 19349663')}) AS score FROM ak, v GROUP BY ALL) GROUP BY ctx)
+SELECT count(*) AS n, round(avg(abs(logz)), 6) AS mean_abs_logz FROM ap JOIN az USING (ctx)""")
 def mean_abs_logz(spark, sf_dir):
-    _, contexts, vocab = _context_pairs(corpus(spark, sf_dir))
-    return loglinear.log_partition(loglinear.all_scores(contexts, vocab)).agg(rounded(F.avg(F.abs("logz"))).alias("mean_abs_logz"))
+    """Over the adjacent words of the first 300 lines, which is the operator's own limit."""
+    rows = corpus(spark, sf_dir)
+    _, contexts, vocab, feats = _context_model(rows)
+    pairs = C.limited(rows, 300).select(F.inline(X.windows(C.padded(F.col("words")), 2)).alias("w1", "w2")).where(F.col("w2") != C.STOP)
+    asked = contexts_of(pairs.select(F.concat(F.lit("NGRAM__"), "w1").alias("own")), feats)
+    z = loglinear.log_partition(_feature_bags(asked.select("ctx").distinct(), feats), vocab)
+    return asked.join(z, "ctx").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.abs("logz"))).alias("mean_abs_logz"))
 
 
 @query(f"{SM} SELECT ctx, word_id, n, round(score - logz, 6) AS log_prob FROM p JOIN a USING (ctx, word_id) JOIN z USING (ctx)")
@@ -404,30 +435,48 @@ def sn_gradient(spark, sf_dir):
     return loglinear.self_normalized_gradient(*_context_pairs(corpus(spark, sf_dir)), STRENGTH).select("pid", rounded("g", 5).alias("g"))
 
 
+M31 = 2147483647
+DRAW = f"((({{0}} * 1103515245 + word_id * 12345 + j * 40503 + 7919) % {M31}) * {M31} + ({{0}} * 48271 + word_id * 69621 + j * 16807 + 1) % {M31})".format("(ctx + 2)")
 NOISY = f"""cum AS (SELECT word_id, c, CAST(sum(c) OVER (ORDER BY word_id) AS BIGINT) AS hi, CAST(sum(c) OVER () AS BIGINT) AS total FROM v),
-slot AS (SELECT word_id, unnest(range(CAST(((hi - c) * {SLOTS} + total - 1) // total AS BIGINT), CAST((hi * {SLOTS} + total - 1) // total AS BIGINT))) AS slot FROM cum),
 q AS (SELECT word_id, c / CAST(total AS DOUBLE) AS q FROM cum),
-noise AS (SELECT p.ctx, p.word_id, j, slot.word_id AS noise_id FROM (SELECT ctx, word_id, j, ((ctx + 2) * 1103515245 + word_id * 12345 + j * 40503 + 7919) % 2147483647 % {SLOTS} AS slot FROM p, range({NOISE}) r(j)) p JOIN slot USING (slot))"""
+noise AS (SELECT p.ctx, p.word_id, j, cum.word_id AS noise_id FROM (SELECT ctx, word_id, j, {DRAW} % (SELECT max(total) FROM cum) AS u FROM p, range({NOISE}) r(j)) p JOIN cum ON u >= hi - c AND u < hi)"""
+
+
+def draws(pairs: DataFrame, k: int = NOISE) -> DataFrame:
+    """(ctx, word_id, j, u): k pseudo-random numbers of 62 bits a pair, functions of it."""
+    j, c, w = F.col("j"), F.col("ctx") + 2, F.col("word_id")
+    each = pairs.select("ctx", "word_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("j"))
+    high, low = F.pmod(c * 1103515245 + w * 12345 + j * 40503 + 7919, F.lit(M31)), F.pmod(c * 48271 + w * 69621 + j * 16807 + 1, F.lit(M31))
+    return each.withColumn("u", high.cast("long") * M31 + low)
 
 
 def noise_of(pairs: DataFrame, vocab: DataFrame, k: int = NOISE, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
-    """(ctx, word_id, j, noise_id) drawn from the unigram distribution by inverse lookup in its slots, a function of the pair; (word_id, q)."""
+    """(ctx, word_id, j, noise_id) drawn from the unigram distribution, and (word_id, q).
+
+    The inverse of the running counts is an interval join: both sides get the slot of the range that they fall in, a word each slot that it touches."""
     from pyspark.sql import Window
 
     w = Window.orderBy("word_id")  # a vocabulary that is cut
-    cum = vocab.select("word_id", "c", F.sum("c").over(w).alias("hi")).join(F.broadcast(vocab.agg(F.sum("c").alias("total"))))
-    edge = lambda x: F.floor((x * slots + F.col("total") - 1) / F.col("total")).cast("long")
-    low, high = edge(F.col("hi") - F.col("c")), edge(F.col("hi"))
-    slot = cum.where(high > low).select(F.col("word_id").alias("noise_id"), F.explode(F.sequence(low, high - 1)).alias("slot"))
-    drawn = pairs.select("ctx", "word_id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("j"))
-    drawn = drawn.withColumn("slot", F.pmod(F.pmod((F.col("ctx") + 2) * 1103515245 + F.col("word_id") * 12345 + F.col("j") * 40503 + 7919, F.lit(2147483647)), F.lit(slots)))
-    return drawn.join(F.broadcast(slot), "slot").select("ctx", "word_id", "j", "noise_id"), cum.select("word_id", (F.col("c") / F.col("total")).alias("q"))
+    total = vocab.agg(F.sum("c").cast("long")).first()[0] or 1
+    cum = cut(vocab.select("word_id", "c", F.sum("c").over(w).alias("hi")).withColumn("lo", F.col("hi") - F.col("c")), "cumulative")
+    width = -(-total // slots)
+    of_word = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("slot")
+    words = cum.select(F.col("word_id").alias("noise_id"), "lo", "hi", of_word)
+    drawn = draws(pairs, k).withColumn("u", F.pmod("u", F.lit(total))).withColumn("slot", F.floor(F.col("u") / width))
+    met = drawn.join(F.broadcast(words) if cum.count() <= BROADCAST_ROWS else words, "slot").where("u >= lo and u < hi")
+    return met.select("ctx", "word_id", "j", "noise_id"), cum.select("word_id", (F.col("c") / F.lit(total)).alias("q"))
+
+
+def uniform_noise(pairs: DataFrame, vocab: DataFrame, k: int = NOISE) -> tuple[DataFrame, DataFrame]:
+    """The same from the uniform distribution over dense word ids."""
+    n = vocab.count()
+    return draws(pairs, k).select("ctx", "word_id", "j", F.pmod("u", F.lit(max(n, 1))).alias("noise_id")), vocab.select("word_id", F.lit(1 / max(n, 1)).alias("q"))
 
 
 @query(f"{SM}, {NOISY} SELECT ctx, word_id, j, noise_id FROM noise")
 def noise_samples(spark, sf_dir):
     pairs, _, vocab = _context_pairs(corpus(spark, sf_dir))
-    return noise_of(pairs, vocab)[0].withColumn("j", F.col("j").cast("long"))
+    return noise_of(pairs, vocab)[0]
 
 
 SP = lambda x: f"(greatest({x}, 0) + ln(1 + exp(-abs({x}))))"
@@ -452,21 +501,29 @@ def lowrank_score(spark, sf_dir):
     return loglinear.low_rank_scores(pairs, contexts, 4).select("ctx", "word_id", rounded("score").alias("score"))
 
 
-DEPTH = 16
-HIER = f"""cd AS (SELECT word_id, array_to_string(list_transform(range({DEPTH}), lambda i : CAST((word_id >> i) & 1 AS VARCHAR)), '') AS code FROM v),
-de AS (SELECT word_id, CASE WHEN code[i] = '1' THEN 1 ELSE -1 END AS sign, substring(code, i + 1) AS node FROM (SELECT word_id, code, unnest(range(1, {DEPTH + 1})) AS i FROM cd)),
+def _decided(codes: str) -> str:
+    """SQL of decisions, nodes and their dot products for a table of codes (word_id, code)."""
+    return f"""cd AS ({codes}),
+de AS (SELECT word_id, CASE WHEN code[i] = '1' THEN 1 ELSE -1 END AS sign, substring(code, i + 1) AS node FROM (SELECT word_id, code, unnest(range(1, length(code) + 1)) AS i FROM cd)),
 nd AS (SELECT node, row_number() OVER (ORDER BY length(node), node) AS node_id FROM (SELECT DISTINCT node FROM de)),
-ht AS (SELECT p.ctx, p.word_id, n, node_id, sign, dot FROM p JOIN de USING (word_id) JOIN nd USING (node) JOIN (SELECT ctx, node_id, sum({TH('node_id * 73856093 + fid * 19349663')} + {TH('fid * 19349663')}) AS dot FROM k, nd GROUP BY ALL) USING (ctx, node_id))"""
+hk AS (SELECT DISTINCT p.ctx, node_id FROM p JOIN de USING (word_id) JOIN nd USING (node)),
+hd AS (SELECT ctx, node_id, sum({TH('node_id * 73856093 + fid * 19349663')}) AS own, sum({TH('fid * 19349663')}) AS shared FROM hk JOIN k USING (ctx) GROUP BY ALL),
+ht AS (SELECT p.ctx, p.word_id, n, node_id, sign, own + shared AS dot, own FROM p JOIN de USING (word_id) JOIN nd USING (node) JOIN hd USING (ctx, node_id))"""
+
+
+HIER = "bits AS (SELECT length(bin(max(word_id))) AS depth FROM v), " + _decided("SELECT word_id, array_to_string(list_transform(range(depth), lambda i : CAST((word_id >> i) & 1 AS VARCHAR)), '') AS code FROM v, bits")
 
 
-def balanced_codes(vocab: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(word_id, code): the bits of the id, lowest first, that is from leaf to root."""
+def balanced_codes(vocab: DataFrame) -> DataFrame:
+    """(word_id, code): the bits of the id, lowest first, that is from leaf to root, as many as the largest id has."""
+    depth = max(1, int(vocab.agg(F.max("word_id")).first()[0] or 0).bit_length())
     return vocab.select("word_id", F.reverse(F.lpad(F.bin("word_id"), depth, "0")).alias("code"))
 
 
-def _hier(spark, sf_dir):
+def _hier(spark, sf_dir, book: bool = False):
+    """Arguments of the hierarchical functions, by balanced codes or the Huffman book."""
     pairs, contexts, vocab = _context_pairs(corpus(spark, sf_dir))
-    codes = balanced_codes(vocab)
+    codes = huffman.code_book(vocab).join(vocab.select("word", "word_id"), "word").select("word_id", "code") if book else balanced_codes(vocab)
     nodes = N.dense_ids(loglinear.decisions(codes).select("node").distinct(), "node", F.length("node"), F.col("node"), name="node_id")
     return pairs, contexts, codes, nodes.withColumn("node_id", F.col("node_id") + 1)
 
@@ -481,24 +538,60 @@ def hier_gradient_fixed_theta(spark, sf_dir):
     return loglinear.hierarchical_gradient(*_hier(spark, sf_dir)).select("pid", rounded("g", 4).alias("g"))
 
 
-@query()
+#: The two lightest trees become one until one is left; each word of the lighter gets a 0 behind its code, of the other a 1.
+HUFFMAN = """WITH RECURSIVE {base}, trees AS (SELECT 0 AS step, list({{'w': CAST(c AS DOUBLE), 'word': word, 'm': [{{'word': word, 'code': ''}}]}} ORDER BY c, word) AS f FROM v
+ UNION ALL SELECT step + 1, list_sort(list_append(f[3:], {{'w': f[1].w + f[2].w, 'word': least(f[1].word, f[2].word), 'm': list_concat(list_transform(f[1].m, lambda x : {{'word': x.word, 'code': x.code || '0'}}), list_transform(f[2].m, lambda x : {{'word': x.word, 'code': x.code || '1'}}))}})) FROM trees WHERE len(f) > 1),
+book AS (SELECT e.word AS word, e.code AS code FROM (SELECT unnest(f[1].m) AS e FROM trees WHERE len(f) = 1))"""
+
+
+def _recursive(parts: str) -> str:
+    return HUFFMAN.format(base=parts.removeprefix("WITH "))
+
+
+@query(_recursive(f"{BASE}, {VOCAB}") + " SELECT word, code FROM book")
 def huffman_codes(spark, sf_dir):
     return huffman.code_book(N.vocab_cut(N.unigrams(corpus(spark, sf_dir)), MIN_WORD))
 
 
+@query(_recursive(f"{BASE}, {VOCAB}") + f", {FEATS}, {SOFT}, {_decided('SELECT word_id, code FROM book JOIN v USING (word)')} SELECT ctx, word_id, round(sum(-{SP('sign * dot')}), 6) AS log_prob FROM ht GROUP BY ALL")
+def hier_huffman_score(spark, sf_dir):
+    return loglinear.hierarchical_scores(*_hier(spark, sf_dir, True)).select("ctx", "word_id", rounded("log_prob").alias("log_prob"))
+
+
+@query(f"{SM}, {HIER} SELECT round(sum(-n * {SP('sign * own')}), 3) AS objective FROM ht")
+def hier_objective_without_const(spark, sf_dir):
+    return loglinear.hierarchical_objective(*_hier(spark, sf_dir), const=False).select(rounded("objective", 3).alias("objective"))
+
+
+#: 100 draws of feature ids with replacement, by an arithmetic rule.
+SAMPLED = 100
+PICK = f"sf AS (SELECT DISTINCT feature FROM (SELECT (i * 1103515245 + 12345) % {M31} % (SELECT count(*) FROM f) AS fid FROM range({SAMPLED}) r(i)) JOIN f USING (fid))"
 COV = """n_all AS (SELECT sum(c) AS total FROM n2), mu AS (SELECT feature, fc.c / CAST(total AS DOUBLE) AS mean FROM fc, n_all),
 hs AS (SELECT w1, w2, c, unnest(['CONST', 'NGRAM__' || w1]) AS feature FROM n2)"""
 
 
-@query(f"{BASE}, {FEATS}, {COV} SELECT b.f, b.g, round((1 - x.mean) * (b.n - s.n * y.mean), 4) AS cov FROM (SELECT p.feature AS f, o.feature AS g, sum(p.c) AS n FROM hs p JOIN hs o USING (w1, w2) JOIN f ON f.feature = p.feature GROUP BY ALL) b JOIN (SELECT feature, sum(c) AS n FROM hs GROUP BY ALL) s ON s.feature = b.f JOIN mu x ON x.feature = b.f JOIN mu y ON y.feature = b.g")
+def sampled_features(ids: DataFrame, draws: int = SAMPLED) -> DataFrame:
+    """(feature) of `draws` ids of (feature, fid), drawn with replacement."""
+    n = max(ids.count(), 1)
+    drawn = ids.sparkSession.range(draws).select(F.pmod(F.pmod(F.col("id") * 1103515245 + 12345, F.lit(M31)), F.lit(n)).alias("fid")).distinct()
+    return ids.join(F.broadcast(drawn), "fid").select("feature")
+
+
+@query(f"{BASE}, {FEATS}, {PICK} SELECT feature FROM sf")
+def feature_sample(spark, sf_dir):
+    return sampled_features(_feature_ids(corpus(spark, sf_dir)))
+
+
+@query(f"{BASE}, {FEATS}, {PICK}, {COV}, wf AS MATERIALIZED (SELECT w1, w2, feature, c FROM hs JOIN sf USING (feature)) SELECT b.f, b.g, round((1 - x.mean) * (b.n - s.n * y.mean), 4) AS cov FROM (SELECT p.feature AS f, o.feature AS g, sum(p.c) AS n FROM wf p JOIN hs o USING (w1, w2) GROUP BY ALL) b JOIN (SELECT feature, sum(c) AS n FROM wf GROUP BY ALL) s ON s.feature = b.f JOIN mu x ON x.feature = b.f JOIN mu y ON y.feature = b.g")
 def feature_covariance(spark, sf_dir):
-    """Of the indexed features with those that occur beside them."""
+    """Of 100 sampled features with those that occur beside them."""
     rows = corpus(spark, sf_dir)
-    grams = _bigrams(rows)
+    grams = cut(_bigrams(rows), "bigrams")
     total = grams.agg(F.sum("c").alias("total"))
-    means = _feature_counts(rows).join(F.broadcast(total)).select("feature", (F.col("c") / F.col("total")).alias("mean"))
+    counts = N.feature_counts(grams, _features, weight=F.col("c"))
+    means = counts.join(F.broadcast(total)).select("feature", (F.col("c") / F.col("total")).alias("mean"))
     has = grams.select(F.struct("w1", "w2").alias("ngram"), "c", F.explode(_features(F.col("g"))).alias("feature"))
-    return N.feature_covariance(has, means, _feature_ids(rows).select("feature")).select("f", "g", rounded("cov", 4).alias("cov"))
+    return N.feature_covariance(has, means, sampled_features(_feature_ids(rows))).select("f", "g", rounded("cov", 4).alias("cov"))
 
 
 ORDINAL = "o AS (SELECT *, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS ordinal FROM t)"
@@ -536,15 +629,34 @@ def merge_count_runs(spark, sf_dir):
     return N.merge_runs(named(corpus(spark, sf_dir)), named(talk))
 
 
-@query()
+def _sgd_sql(steps: int = 3, rate: float = 0.5, l2: float = 0.1) -> str:
+    """Full-batch AdaGrad from zero, a step after another."""
+    parts = [f"{SM}, kx AS MATERIALIZED (SELECT ctx, v.word_id, (v.word_id * 73856093 + fid * 19349663) % 1048576 AS pid FROM k, v), nt AS (SELECT sum(n) AS nt FROM p), m AS (SELECT ctx, sum(n) AS m FROM p GROUP BY ctx), sw0 AS (SELECT DISTINCT pid, CAST(0 AS DOUBLE) AS th, CAST(1e-8 AS DOUBLE) AS seen FROM kx)"]
+    for i in range(steps):
+        parts += [
+            f"sa{i} AS MATERIALIZED (SELECT ctx, word_id, sum(th) AS score FROM kx JOIN sw{i} USING (pid) GROUP BY ALL)",
+            f"sz{i} AS MATERIALIZED (SELECT ctx, ln(sum(exp(score))) AS logz FROM sa{i} GROUP BY ctx)",
+            f"sl{i} AS (SELECT {i} AS step, sum(n * (score - logz - {STRENGTH / 2} * logz * logz)) / max(nt) AS ll FROM p JOIN sa{i} USING (ctx, word_id) JOIN sz{i} USING (ctx), nt)",
+            f"sg{i} AS (SELECT pid, sum(w) AS g FROM (SELECT ctx, word_id, coalesce(n, 0) - m * exp(score - logz) * (1 + {STRENGTH} * logz) AS w FROM sa{i} JOIN sz{i} USING (ctx) JOIN m USING (ctx) LEFT JOIN p USING (ctx, word_id)) JOIN kx USING (ctx, word_id) GROUP BY ALL)",
+            f"sd{i} AS (SELECT pid, th, g / nt - {l2} * th / nt AS g, seen FROM sw{i} JOIN sg{i} USING (pid), nt)",
+            f"sw{i + 1} AS MATERIALIZED (SELECT pid, th + {rate} * g / sqrt(seen + g * g) AS th, seen + g * g AS seen FROM sd{i})",
+        ]
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT step, round(ll, 5) AS log_likelihood, round(exp(-ll), 3) AS perplexity FROM sl{i}" for i in range(steps))
+
+
+def grouped_pairs(rows: DataFrame, size: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Examples (group_id, ctx, word_id, n) by groups of lines, with contexts and vocabulary."""
+    _, contexts, vocab, feats = _context_model(rows)
+    groups = C.line_groups(rows, size).select("group_id", F.inline(X.windows(C.padded(F.col("words")), 2)).alias("w1", "w2")).groupBy("group_id", "w1", "w2").agg(F.count(F.lit(1)).alias("n"))
+    g = groups.withColumn("own", F.concat(F.lit("NGRAM__"), "w1")).join(sized(vocab.select(F.col("word").alias("w2"), "word_id")), "w2")
+    return contexts_of(g, feats).groupBy("group_id", "ctx", "word_id").agg(F.sum("n").alias("n")), contexts, vocab
+
+
+@query(_sgd_sql())
 def sgd_train(spark, sf_dir):
-    """Mean log-likelihood by step of the self-normalised model over the most frequent words."""
-    rows = corpus(spark, sf_dir)
-    pairs, contexts, vocab = _context_pairs(rows)
-    n_words, n_features = vocab.count(), _feature_ids(rows).count()
-    data = pairs.join(contexts.groupBy("ctx").agg(F.sort_array(F.collect_list("fid")).alias("features")), "ctx").select(F.pmod("ctx", F.lit(16)).alias("group_id"), "features", "word_id", "n")
-    _, history = train.sgd(data, n_words, n_features, train.Training(steps=3))
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(history)], "step int, log_likelihood double")
+    """Mean log-likelihood and perplexity by step of the self-normalised model; a batch is 256 groups of 100 lines, or all if there are fewer."""
+    _, history = train.sgd(*grouped_pairs(corpus(spark, sf_dir)), train.Training(steps=3))
+    return spark.createDataFrame([(i, round(float(x), 5), round(float(np.exp(-x)), 3)) for i, x in enumerate(history)], "step int, log_likelihood double, perplexity double")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gramframe.sources.stage import sized
+
 START, STOP, UNK = "<s>", "</s>", "UNK"
 
 
@@ -14,10 +18,17 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def text_lines(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """(doc_id, line_no, line) of text files, gzip or plain; doc_id is a number of the file. limit: lines of each file, 0 for all."""
-    rows = spark.read.text(path).select(F.xxhash64(F.input_file_name()).alias("doc_id"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    first = rows.groupBy("doc_id").agg(F.min("at").alias("first"))
-    out = rows.join(first, "doc_id").select("doc_id", (F.col("at") - F.col("first")).alias("line_no"), "line")
+    """(doc_id, line_no, line) of text files, gzip or plain; doc_id is a number of the file. limit: lines of each file, 0 for all.
+
+    Lines of a split of a file follow each other, so a line's number is its place in its split after the lines of the file's earlier
+    splits; only a row a split is sorted.
+    """
+    meta = F.col("_metadata")
+    rows = spark.read.text(path).select(F.xxhash64(meta["file_path"]).alias("doc_id"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = rows.groupBy("doc_id", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    base = splits.select("doc_id", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("base"))
+    out = rows.join(sized(base), ["doc_id", "block"]).select("doc_id", (F.col("at") + F.col("base")).alias("line_no"), "line")
     return out.where(F.col("line_no") < limit) if limit else out
 
 
@@ -32,7 +43,7 @@ def tokens(line: Column, trim: bool = False, strict: bool = False) -> Column:
 
 def tokenized(docs: DataFrame, **how) -> DataFrame:
     """(doc_id, line_no, words) of lines that have a word."""
-    return lines(docs).select("doc_id", "line_no", tokens(F.col("line"), **how).alias("words")).where(F.size("words") > 0)
+    return lines(docs).where(F.trim("line") != "").select("doc_id", "line_no", tokens(F.col("line"), **how).alias("words"))
 
 
 def padded(words: Column) -> Column:
@@ -60,8 +71,11 @@ def numbered(rows: DataFrame, partitions_by: str = "doc_id", order: tuple[str, .
 
 
 def limited(rows: DataFrame, n: int) -> DataFrame:
-    """The first n rows in the order of documents and lines; 0 for all."""
-    return numbered(rows).where(F.col("ordinal") < n) if n else numbered(rows)
+    """The first n rows in the order of documents and lines, with ordinal; 0 for all. Each task keeps n rows at most, and only the last n of them are numbered."""
+    if not n:
+        return numbered(rows)
+    order = ("doc_id", "line_no")
+    return rows.orderBy(*order).limit(n).withColumn("ordinal", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
 
 
 def line_groups(rows: DataFrame, size: int) -> DataFrame:
@@ -103,6 +117,39 @@ def save_text(df: DataFrame, path: str, *columns: str) -> None:
     df.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in columns]).alias("value")).write.mode("overwrite").text(path)
 
 
+def save_groups(groups: DataFrame, path: str) -> None:
+    """Rows with group_id, a folder a group, so that a batch reads its own groups alone."""
+    groups.repartition("group_id").write.mode("overwrite").partitionBy("group_id").parquet(path)
+
+
+def load_groups(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """The written rows of a batch of groups."""
+    return in_groups(spark.read.parquet(path), ids)
+
+
+def save_model(path: str, config: dict, **tables: DataFrame) -> None:
+    """A model: its parameters and indexes as Parquet, its configuration as JSON."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        save(df, f"{path}/{name}")
+    spark.createDataFrame([(json.dumps({"config": config, "tables": sorted(tables)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
+    """Configuration and tables by name."""
+    about = json.loads(spark.read.text(f"{path}/config").first()[0])
+    return about["config"], {name: load(spark, f"{path}/{name}") for name in about["tables"]}
+
+
 def save_count_runs(df: DataFrame, path: str) -> None:
     """suffix,word,count in order of key length, key and word."""
     df.repartitionByRange(F.size(F.split("suffix", "_")), "suffix", "word").sortWithinPartitions(F.size(F.split("suffix", "_")), "suffix", "word").write.mode("overwrite").csv(path)
+
+
+def load_count_runs(spark: SparkSession, *paths: str) -> list[DataFrame]:
+    return [spark.read.csv(p, "suffix string, word string, c long") for p in paths]
+
+
+def copy_run(spark: SparkSession, source: str, target: str) -> None:
+    """A run as it is, under another path: one that has no partner in a round of merges."""
+    spark.read.text(source).write.mode("overwrite").text(target)

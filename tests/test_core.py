@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gramframe.functions import text as X
 from gramframe.operators import counts, huffman, loglinear, smoothing, train
-from gramframe.plans import queries as Q
+from gramframe.plans import catalog as Q
+from gramframe.plans import experiment
+from gramframe.plans.queries import noise_of
 from gramframe.sources import corpus as C
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +20,7 @@ def toy(spark):
     return C.tokenized(spark.createDataFrame([(1, "a b a c\na b b\nc a b")], "doc_id long, text string"))
 
 
-@pytest.mark.parametrize("name", ["line_tokens", "bigram_mle", "trigram_lm_stats", "kn_perplexity", "packed_keys", "suffix_backoff", "feature_union", "feature_index", "hashed_product_index", "partition_logz", "sn_objective", "nce_objective", "hier_score_fixed_theta", "line_groups", "external_scores_perplexity"])
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_oracle(spark, name):
     assert oracle.compare(Q.QUERIES[name](spark, SF), oracle.connect(SF), Q.ORACLE_SQL[name]) is None
 
@@ -57,20 +59,149 @@ def test_huffman_codes_read_from_leaf_to_root():
     assert sum(2.0 ** -len(c) for c in codes.values()) == 1
 
 
-def test_gradient_agrees_with_differences(spark):
-    pairs = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (1, 2, 2)], "ctx long, word_id long, n long")
-    contexts = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 2)], "ctx long, fid long")
-    vocab = spark.createDataFrame([(0,), (1,), (2,)], "word_id long")
-    grad = {r["pid"]: r["g"] for r in loglinear.self_normalized_gradient(pairs, contexts, vocab, 0.1).collect()}
-    pid, eps = max(grad, key=lambda k: abs(grad[k])), 1e-5
-    at = lambda e: loglinear.self_normalized(pairs, contexts, vocab, 0.1, lambda p: loglinear.theta_of(p) + F.when(p == pid, e).otherwise(0.0)).first()[0]
-    assert (at(eps) - at(-eps)) / (2 * eps) == pytest.approx(grad[pid], rel=1e-5)
+VOCAB = [(0, 4), (1, 2), (2, 3)]
 
 
-def test_training_raises_the_likelihood(spark):
-    data = spark.createDataFrame([(0, [0, 1], 0, 5), (1, [0, 2], 1, 5)], "group_id long, features array<int>, word_id int, n long")
-    theta, history = train.sgd(data, 3, 3, train.Training(steps=6))
-    assert history[-1] > history[0] and np.isfinite(theta).all()
+@pytest.fixture(scope="module")
+def small(spark):
+    pairs = spark.createDataFrame([(0, 0, 3), (0, 1, 1), (1, 2, 2)], "ctx long, word_id long, n long")
+    contexts = spark.createDataFrame([(0, 0), (0, 1), (1, 0), (1, 2)], "ctx long, fid long")
+    vocab = spark.createDataFrame(VOCAB, "word_id long, c long")
+    noise = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 1, 2), (0, 1, 0, 0), (1, 2, 0, 0), (1, 2, 1, 2)], "ctx long, word_id long, j long, noise_id long")
+    q = vocab.select("word_id", (F.col("c") / 9).alias("q"))
+    codes = spark.createDataFrame([(0, "0"), (1, "01"), (2, "11")], "word_id long, code string")
+    nodes = spark.createDataFrame([("", 1), ("1", 2)], "node string, node_id long")
+    return pairs, contexts, vocab, noise, q, codes, nodes
+
+
+@pytest.mark.parametrize("kind", ["self_normalized", "exact", "nce", "sampled", "low_rank", "hierarchical", "hierarchical_without_const"])
+def test_gradients_agree_with_differences(small, kind):
+    pairs, contexts, vocab, noise, q, codes, nodes = small
+    L = loglinear
+    value, gradient = {
+        "self_normalized": (lambda t: L.self_normalized(pairs, contexts, vocab, 0.1, t), lambda: L.self_normalized_gradient(pairs, contexts, vocab, 0.1)),
+        "exact": (lambda t: L.self_normalized(pairs, contexts, vocab, 0.0, t), lambda: L.self_normalized_gradient(pairs, contexts, vocab, 0.0)),
+        "nce": (lambda t: L.nce(pairs, noise, contexts, q, 2, t), lambda: L.nce_gradient(pairs, noise, contexts, q, 2)),
+        "sampled": (lambda t: L.sampled_softmax(pairs, noise, contexts, t), lambda: L.sampled_softmax_gradient(pairs, noise, contexts)),
+        "low_rank": (lambda t: L.low_rank(pairs, noise, contexts, 3, t), lambda: L.low_rank_gradient(pairs, noise, contexts, 3)),
+        "hierarchical": (lambda t: L.hierarchical_objective(pairs, contexts, codes, nodes, t), lambda: L.hierarchical_gradient(pairs, contexts, codes, nodes)),
+        "hierarchical_without_const": (lambda t: L.hierarchical_objective(pairs, contexts, codes, nodes, t, False), lambda: L.hierarchical_gradient(pairs, contexts, codes, nodes, const=False)),
+    }[kind]
+    grad = {r["pid"]: r["g"] for r in gradient().collect()}
+    eps = 1e-5
+    for pid in sorted(grad, key=lambda k: -abs(grad[k]))[:2]:
+        at = lambda e, pid=pid: value(lambda p: L.theta_of(p) + F.when(p == pid, e).otherwise(0.0)).first()[0]
+        assert (at(eps) - at(-eps)) / (2 * eps) == pytest.approx(grad[pid], rel=1e-5)
+
+
+def test_plain_objective_with_four_parameters():
+    """A weight belongs in the gradient as in the objective."""
+    x, weight = np.array([0.3, -0.2, 0.5, 0.1]), np.array([1.0, 10.0, 1.0, 10.0])
+    f = lambda t: float((weight * (np.log1p(np.exp(t)) - t * (weight > 1))).sum())
+    g = weight * (1 / (1 + np.exp(-x)) - (weight > 1))
+    step = np.eye(4) * 1e-6
+    assert [(f(x + s) - f(x - s)) / 2e-6 for s in step] == pytest.approx(g, rel=1e-6)
+
+
+@pytest.mark.parametrize("l1", [False, True])
+def test_training_raises_the_likelihood_and_survives_a_round_trip(spark, small, tmp_path, l1):
+    pairs, contexts, vocab = small[:3]
+    told = []
+    theta, history = train.sgd(pairs.withColumn("group_id", F.col("ctx")), contexts, vocab, train.Training(steps=6, l1=l1, monitor_every=2), lambda *x: told.append(x))
+    assert history[-1] > history[0] and np.isfinite(theta).all() and [t[0] for t in told] == [0, 2, 4] and told[0][2] == pytest.approx(math.exp(-history[0]))
+    C.save_model(str(tmp_path / "m"), {"steps": 6}, theta=train.parameters(spark, theta), vocab=vocab)
+    config, tables = C.load_model(spark, str(tmp_path / "m"))
+    got = {(r["ctx"], r["word_id"]): r["score"] for r in train.unnormalized_scores(pairs, contexts, tables["theta"]).collect()}
+    ids = lambda w, fids: [(w * 73856093 + f * 19349663) % loglinear.BUCKETS for f in fids]
+    assert config == {"steps": 6} and got[0, 1] == pytest.approx(theta[ids(1, [0, 1])].sum()) and got[1, 2] == pytest.approx(theta[ids(2, [0, 2])].sum())
+
+
+def test_every_word_can_be_noise(spark):
+    vocab = spark.createDataFrame([(0, 1_000_000), *((i, 1) for i in range(1, 40))], "word_id long, c long")
+    pairs = spark.createDataFrame([(i, 0, 1) for i in range(50)], "ctx long, word_id long, n long")
+    noise, q = noise_of(pairs, vocab, k=3, slots=10)
+    assert noise.count() == 150 and q.agg(F.sum("q")).first()[0] == pytest.approx(1)
+    even = spark.createDataFrame([(i, 2) for i in range(40)], "word_id long, c long")
+    assert noise_of(pairs, even, k=20, slots=3)[0].select("noise_id").distinct().count() == 40
+
+
+def test_balanced_codes_have_the_bits_they_need(spark):
+    from gramframe.plans.queries import balanced_codes
+
+    rows = balanced_codes(spark.createDataFrame([(0,), (65536,), (131071,)], "word_id long")).collect()
+    assert len({r["code"] for r in rows}) == 3 and {len(r["code"]) for r in rows} == {17}
+
+
+def test_packed_ids_do_not_spill(spark):
+    row = spark.createDataFrame([((1 << 20) - 1, 0, 5)], "a long, b long, c long")
+    assert row.select(X.pack_ids(F.col("a"), F.col("b"), F.col("c"))).first()[0] == 1 + (((1 << 20) - 1) << 1) + (5 << 41)
+    with pytest.raises(Exception, match="over the bits"):
+        row.select(X.pack_ids(F.col("a") + 1)).collect()
+
+
+def test_windows_cost_in_proportion_to_the_line(spark):
+    import time
+
+    took = {}
+    for n in (8_000, 8_000, 64_000):
+        docs = spark.createDataFrame([(1, " ".join(f"w{i % 97}" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert counts.word_columns(C.tokenized(docs), 3).agg(F.sum("c")).first()[0] == n
+        took[n] = time.time() - began
+    assert took[64_000] < 8 * took[8_000] + 2
+
+
+def test_column_helpers(spark):
+    row = spark.range(1).select(F.array(F.lit(1), F.lit(2)).alias("a"), F.array(F.lit(10), F.lit(20)).alias("b"), F.array(F.lit("x"), F.lit("y")).alias("w"), F.array(F.lit(3), F.lit(-1), F.lit(4)).alias("i"))
+    got = row.select(X.cross(F.col("a"), F.col("b"), lambda x, y: x + y), X.scaled_add(F.col("a"), 2, F.col("b")), X.filled(2, 3, F.lit(0)), X.left_context(F.col("w"), 2, "S"), X.known_ids(F.col("i")), X.joined_ids(F.col("i")), X.parse_hash_name(X.hash_name(F.lit(7))), X.parse_hash_name(F.lit("other"))).first()
+    assert list(got) == [[11, 21, 12, 22], [21, 42], [[0, 0, 0], [0, 0, 0]], [["S", "S"], ["x", "S"]], [3, 4], "3_-1_4", 7, None]
+
+
+def test_experiment(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("trainPath: /a # where\nlines: 5\n")
+    config = experiment.Config.from_args(["--config", str(tmp_path / "c.yaml"), "--min-word-count", "3"])
+    assert (config.train_path, config.lines, config.min_word_count, config.epochs) == ("/a", 5, 3, 10)
+    with pytest.raises(ValueError):
+        experiment.Config.of({"nothing": "1"})
+    stages = (experiment.Step("count", lambda s, c, made: {"n": s.range(c.lines).count()}), experiment.Step("double", lambda s, c, made: {"m": 2 * made["n"]}))
+    assert experiment.Experiment(stages).run(spark, config) == {"n": 5, "m": 10}
+    index = experiment.Index(spark.createDataFrame([("a", 0), ("b", 1)], "key string, id long"))
+    asked = index.apply(spark.createDataFrame([("b",), ("z",)], "word string"), "word")
+    assert index.size() == 2 and {(r["word"], r["id"]) for r in asked.collect()} == {("b", 1), ("z", -1)} and {r["key"] for r in index.unapply(asked).collect()} == {"b", None} and dict(index.pairs()) == {"a": 0, "b": 1}
+    scored = smoothing.ExternalScorer(spark.createDataFrame([("b", -2.0)], "word string, log10p double"))
+    assert isinstance(scored, experiment.LanguageModel) and {r["word"]: r["p"] for r in scored.score(asked.select("word")).collect()} == {"b": pytest.approx(0.01), "z": None}
+
+
+def test_lines_of_files_over_several_splits(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name} line {i}\n" for i in range(400)))
+    import gzip
+
+    (tmp_path / "c.txt.gz").write_bytes(gzip.compress(b"".join(b"c line %d\n" % i for i in range(400))))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        rows = C.text_lines(spark, str(tmp_path)).collect()
+        some = C.text_lines(spark, str(tmp_path), 300).groupBy("doc_id").count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == 1200 and all(r["line"].endswith(f"line {r['line_no']}") for r in rows) and [r["count"] for r in some] == [300] * 3
+
+
+def test_runs_groups_and_words(spark, tmp_path):
+    at = lambda x: str(tmp_path / x)
+    runs = [spark.createDataFrame(rows, "suffix string, word string, c long") for rows in ([("1_2", "a", 3), ("1", "b", 1)], [("1", "b", 4)])]
+    for i, r in enumerate(runs):
+        C.save_count_runs(r, at(f"r{i}"))
+    C.copy_run(spark, at("r1"), at("r1copy"))
+    assert spark.read.text(at("r0")).collect()[0][0] == "1,b,1"
+    merged = counts.merge_runs(*C.load_count_runs(spark, at("r0"), at("r1copy")))
+    assert {tuple(r) for r in merged.collect()} == {("1_2", "a", 3), ("1", "b", 5)}
+    C.save_groups(spark.createDataFrame([(0, "x"), (1, "y"), (1, "z")], "group_id long, line string"), at("g"))
+    assert {r["line"] for r in C.load_groups(spark, at("g"), [1]).collect()} == {"y", "z"}
+    C.save_text(spark.createDataFrame([("b",), ("",)], "word string"), at("words"), "word")
+    assert [r[0] for r in C.word_list(spark, at("words")).collect()] == ["b"]
+    assert [r[0] for r in C.piped_scores(spark.createDataFrame([("w=3\t2\t-1.5",)], "line string"), "cat").collect()] == ["w=3\t2\t-1.5"]
 
 
 def test_sources(spark, tmp_path):
