@@ -2,50 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join may be broadcast, of at most some hundred bytes a row.
-BROADCAST_ROWS = 100_000
+from gramframe.sources.stage import BROADCAST_ROWS, cut, shared_dir, sized  # noqa: F401
+
 #: Bytes of text that one step of vectorised work takes.
 CHUNK_BYTES = 2 << 20
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        _own[:] = _own or ["file://" + tempfile.mkdtemp(prefix="gramframe-")]
-        at = _own[0]
-    return at.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing that is written.
-
-    The shuffle files of the job that writes it are removed when it ends, where Spark can do so.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint at a broadcast of a written table if it is small enough, counted here from its footers; else leave Spark to shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: A key is heavy if it has more than this part of a table's rows, so there are no more heavy keys than this.
+HEAVY_PART = 2000
+
+
+def join_split(rows: DataFrame, keys: DataFrame, on: list[str], count: str = "rows") -> DataFrame:
+    """rows joined with keys, a written table with one row a key and the number of rows that it meets in `count`.
+
+    Heavy keys, of which there are at most HEAVY_PART, are broadcast and meet their rows wherever those are; the others are shuffled, so
+    no task gets more of one key than its part of the rows."""
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) * HEAVY_PART > total
+    few = F.broadcast(keys.where(heavy))
+    light = rows.join(few.select(*on), on, "left_anti").join(keys.where(~heavy), on)
+    return rows.join(few, on).unionByName(light)
 
 
 def text_key(text: Column) -> Column:

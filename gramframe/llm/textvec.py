@@ -1,7 +1,8 @@
 """Words, lines and n-grams of a column of texts as arrays of 64-bit hashes, without a Python object a word.
 
-A word is a run of bytes other than the white space 0x20 and 0x09-0x0D. A polynomial in the bytes, taken from prefix sums modulo
-2^64, is mixed to a hash, so that it depends on the word alone and not on its place.
+A word is a run of bytes other than the white space 0x20 and 0x09-0x0D. Its hash is the sum of a random number for each byte at each
+place in the word, mixed again: a table for the first 64 places, and a mix of the table's number and the place's block for later ones.
+No polynomial modulo 2^64 is used, as that gives long words of regular structure one hash.
 """
 
 from __future__ import annotations
@@ -11,25 +12,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BASE, STEP = 0x9E3779B97F4A7C15, U(0xD1342543DE82EF95)
+GOLD, STEP = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Capital letters become small, and what is no letter or digit becomes a space, among the bytes of ASCII.
 PLAIN = np.array([ord(chr(b).lower()) if b >= 128 or chr(b).isalnum() else 32 for b in range(128)] + list(range(128, 256)), np.uint8)
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i for i up to n."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            out = np.full(size, base, U)
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers (the finaliser of splitmix64)."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -37,6 +24,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+PLACES = 64
+TABLE = mix(np.arange(1, PLACES * 256 + 1, dtype=U) * GOLD)
+
+
+def sums_of(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of runs modulo 2^64."""
+    sums = np.zeros(len(values) + 1, U)
+    np.cumsum(values, out=sums[1:])
+    return sums[ends] - sums[starts]
+
+
+def placed(hashes: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Random numbers of hashes at places of a sequence, whose sum stands for the sequence."""
+    return mix(hashes ^ mix(place.astype(U) * GOLD + U(1)))
+
+
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts in a row, and where each begins; null is empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -60,10 +63,15 @@ class Words:
         first[edges] = solid[edges]
         last[edges - 1] = solid[edges - 1]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = powers(len(data))
-        sums = np.zeros(len(data) + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-        self.hash = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        at = np.flatnonzero(solid)
+        size = self.ends - self.starts
+        place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        value = TABLE[((place & (PLACES - 1)) << 8) | data[at]]
+        if len(size) and size.max() > PLACES:
+            late = np.flatnonzero(place >= PLACES)
+            value[late] = mix(value[late] ^ ((place[late] // PLACES).astype(U) * GOLD))
+        edge = np.cumsum(size)
+        self.hash = mix(sums_of(value, edge - size, edge) + size.astype(U) * STEP)
         self.doc = np.searchsorted(offs, self.starts, "right") - 1
         self.count = np.bincount(self.doc, minlength=len(offs) - 1)
         self.at = np.concatenate([[0], np.cumsum(self.count)])

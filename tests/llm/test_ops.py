@@ -270,3 +270,32 @@ def test_pipeline_stages(spark):
         docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert sorted(r["doc_id"] for r in docs.collect()) == list(range(30))
+
+
+def thue_morse(n):
+    return [bin(i).count("1") & 1 for i in range(n)]
+
+
+def test_lines_that_a_polynomial_would_confuse(spark):
+    signs = thue_morse(1024)
+    one, other = (" ".join("alpha" if s == flip else "beta" for s in signs) for flip in (0, 1))
+    got = line_dedup.dedup_lines(frame(spark, [(1, one), (2, other), (3, one)])).collect()
+    assert {r["doc_id"]: r["n_dropped_lines"] for r in got} == {1: 0, 2: 0, 3: 1}
+    texts = ["".join("ab"[s ^ flip] for s in thue_morse(4096)) for flip in (0, 1)]
+    assert len(set(tv.Words(*tv.utf8(pa.array(texts))).hash.tolist())) == 2
+
+
+def test_line_dedup_of_a_long_document(spark):
+    lines = [f"line {i}" for i in range(20_000)]
+    docs = frame(spark, [(1, "\n".join(lines[:10_000])), (2, "\n".join(lines))])
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[2]["n_dropped_lines"] == 10_000 and got[2]["text"] == "\n".join(lines[10_000:]) and got[1]["n_dropped_lines"] == 0
+
+
+def test_heavy_and_light_keys_join_alike(spark):
+    from gramframe.llm.common import join_split
+
+    rows = spark.range(6000).select((F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 3999)).alias("k"), "id")
+    keys = rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+    got = join_split(rows, keys, ["k"])
+    assert got.count() == 6000 and got.select("id").distinct().count() == 6000
