@@ -1,4 +1,10 @@
-"""A pipeline over documents: quality rules, line dedup, near-dedup, benchmark decontamination, packing."""
+"""A pipeline over documents: quality rules, line dedup, near-dedup, benchmark decontamination, packing.
+
+Defined results: null texts count as empty, and go with the quality rules like other texts of too few words; a null id or language is
+one like others; rows equal in id and text are one document from near-dedup on; ties go as each operator says; an empty table gives
+empty tables; columns beside doc_id, text and lang are carried, n_chars anew where lines went. Counted as part of gramframe.llm, without
+which it cannot be imported.
+"""
 
 from __future__ import annotations
 
@@ -12,8 +18,8 @@ from gramframe.llm.common import shared_dir, text_key
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return quality.filter(docs)
+    """Documents that the rules keep. Short clean documents are of use here: five words are enough, and distances count from the operator's own least lengths."""
+    return quality.filter(docs, quality.Quality(base_words=5))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

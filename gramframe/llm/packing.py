@@ -2,11 +2,12 @@
 
 Documents become token ids in one pass over their text; only (id, piece, start, length, crc) goes on. Pieces are dealt at random to
 partitions of a bounded size, each packed by best-fit decreasing. Dual feasible functions give a lower bound of the sequences that a
-partition needs; one that meets its bound is final. Of the others the full sequences are final, while the pieces in sequences that
-have a gap go back, are dealt anew among fewer partitions and packed again, for a bounded number of rounds.
+partition needs; one that meets its bound is final and certified. Of the others the full sequences are final, while the pieces in
+sequences that have a gap go back, are dealt anew among fewer partitions and packed again. After a number of rounds what is left is
+final, and certified only if its partition met its bound. `bound` gives the bound of all pieces together.
 
 Defined results: a null text is empty and has the closing id alone; repeated rows are packed as often as they occur; an empty table
-gives an empty result; extra columns are ignored. Strings of special tokens in a text are ordinary text.
+gives an empty result; extra columns are ignored. Ids are the tokenizer's, which takes strings of its special tokens for these.
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ class Encoder(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(p.tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
-        self.whole.encode_special_tokens = True
+        special = sorted(t.content for t in self.whole.get_added_tokens_decoder().values())
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         with open(p.ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.core = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -68,7 +70,7 @@ class Encoder(dict):
         flat = text.replace("\n", " ")
         if not text:
             return b""
-        if not flat.isprintable() or "  " in flat or flat[0] == " " or flat[-1] == " ":
+        if not flat.isprintable() or "  " in flat or flat[0] == " " or flat[-1] == " " or self.special and self.special.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) > self.most:
             self.clear()
@@ -104,12 +106,12 @@ def pieces(docs: DataFrame, p: Packing, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(by_chunk(make, "text"), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
     """The largest of the bounds that the dual feasible functions give: sizes as they are; sizes over capacity - e count as a whole,
-    those under e as nothing; and sizes rounded to k parts."""
+    those under e as nothing; and sizes rounded to k parts. counts: how often each length occurs, once if not given."""
     if not len(lengths):
         return 0
-    values, n = np.unique(lengths, return_counts=True)
+    values, n = np.unique(lengths, return_counts=True) if counts is None else (np.asarray(lengths), np.asarray(counts))
     x, best = values / capacity, int(-(-int((values * n).sum()) // capacity))
     for e in np.unique(np.minimum(values, capacity - values)):
         if 0 < e <= capacity // 2:
@@ -121,6 +123,13 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+def bound(rows: DataFrame, p: Packing | None = None) -> int:
+    """Fewest sequences that all pieces together can take, by their lengths, of which there are no more than the capacity."""
+    p = p or Packing()
+    found = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    return lower_bound(np.array([r["length"] for r in found], np.int64), p.capacity, np.array([r["n"] for r in found], np.int64))
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Bin and offset of each piece, and the number of bins: the largest piece first, each into the fullest bin that has room."""
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -145,8 +154,8 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(rows: DataFrame, p: Packing) -> DataFrame:
-    """Pieces with sequence_id and offset."""
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, again boolean"
+    """Pieces with sequence_id, offset and certified: whether the sequence's partition met its bound, or the sequence is full."""
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, certified boolean, again boolean"
     done, left = None, rows
     for k in range(p.rounds):
         total = left.count()
@@ -161,9 +170,11 @@ def pack(rows: DataFrame, p: Packing) -> DataFrame:
             lengths = table.column("length").to_numpy()
             bins, offsets, n = best_fit(lengths, p.capacity)
             fill = np.bincount(bins, lengths, n)
-            again = (fill < p.capacity)[bins] & (not last and n > lower_bound(lengths, p.capacity))
+            met = n == lower_bound(lengths, p.capacity)
+            certified = (fill == p.capacity)[bins] | met
+            again = ~certified & (not last)
             sequence = (np.int64(k) << 56) + (np.int64(TaskContext.get().partitionId()) << 32) + bins
-            yield from table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets)).append_column("again", pa.array(again)).to_batches(10_000)
+            yield from table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets)).append_column("certified", pa.array(certified)).append_column("again", pa.array(again)).to_batches(10_000)
 
         spot = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(k)), F.lit(1 << 40))
         dealt = left.repartitionByRange(parts, spot) if parts > 1 else left.coalesce(1)

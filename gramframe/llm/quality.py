@@ -4,9 +4,9 @@ One pass counts each document's characters by class, its common words, and the b
 the mean histograms of a language's documents that pass the base rules, fitted again on those that are near the first fit. A
 document is rejected if its Jensen-Shannon distance (the square root of the divergence in bits) to the reference of its language is
 too large, for either histogram. Histograms of few counts are noisy, so short texts get an allowance that falls with the root of
-their words (texts of fewer than min_words words are judged by the base rules alone, which has no effect unless min_words is above
-base_words); if a language has fewer than min_reference documents to make a reference of, in either fit, it has none: its distances
-are null and reject nothing.
+their words, and a histogram of too little does not count at all: that of common words in texts of fewer than min_words words, that of
+characters in texts of fewer than min_chars characters in words. If a language has fewer than min_reference documents to make a
+reference of, in either fit, it has none: its distances are null and reject nothing.
 
 Defined results: null texts are empty; empty texts fail the base rules and have zero counts; a null language is one of its own; rows
 are judged one by one, so repeated rows get equal results; an empty table gives an empty result; extra columns are kept by `filter`.
@@ -50,7 +50,7 @@ CLASS = _classes()
 
 @dataclass(frozen=True)
 class Quality:
-    """Fewest words, greatest percentage of words in repeated 3-word windows, greatest distances, allowance (over the root of the words), and the bounds under which distances do not count."""
+    """Fewest words, greatest percentage of words in repeated 3-word windows, greatest distances, allowance (over the root of the words), and the bounds of words, characters and documents under which distances do not count."""
 
     base_words: int = 50
     repeat_percent: int = 50
@@ -58,7 +58,8 @@ class Quality:
     word_distance: float = 0.35
     char_allowance: float = 0.5
     word_allowance: float = 3.0
-    min_words: int = 50
+    min_words: int = 80
+    min_chars: int = 100
     min_reference: int = 20
 
 
@@ -137,16 +138,17 @@ def judge(docs: DataFrame, p: Quality | None = None, id_col: str = "doc_id", tex
     failed = (F.col("n_words") < p.base_words) | (100 * F.col("n_repeat_words") > p.repeat_percent * F.col("n_words"))
     rows = cut(figures(texts, p).withColumn("base_failed", failed).withColumn("p", shares(F.col("chars"))).withColumn("q", shares(F.col("common"))).drop("chars", "common"), "figures")
     room = lambda x: x / F.sqrt(F.greatest("n_words", F.lit(1)))
-    near = (F.col("char_distance") <= p.char_distance + room(F.lit(p.char_allowance))) & (F.col("word_distance") <= p.word_distance + room(F.lit(p.word_allowance)))
+    of_chars = (F.col("word_chars") < p.min_chars) | (F.col("char_distance") <= p.char_distance + room(F.lit(p.char_allowance)))
+    of_words = (F.col("n_words") < p.min_words) | (F.col("word_distance") <= p.word_distance + room(F.lit(p.word_allowance)))
+    near = F.coalesce(of_chars, F.lit(True)) & F.coalesce(of_words, F.lit(True))
 
     def measured(refs: DataFrame) -> DataFrame:
         return rows.join(sized(refs), "lang", "left").withColumn("char_distance", distance(F.col("p"), F.col("rp"))).withColumn("word_distance", distance(F.col("q"), F.col("rq"))).drop("rp", "rq")
 
     good = ~F.col("base_failed")
     first = cut(references(rows.where(good), p), "references")
-    refs = cut(references(measured(first).where(good & near), p), "references")
-    kept = good & ((F.col("n_words") < p.min_words) | F.coalesce(near, F.lit(True)))
-    return measured(refs).withColumn("kept", kept).select("id", "node", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
+    refs = cut(references(measured(first).where(good & near & F.col("char_distance").isNotNull()), p), "references")
+    return measured(refs).withColumn("kept", good & near).select("id", "node", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
 
 
 def filter(docs: DataFrame, p: Quality | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

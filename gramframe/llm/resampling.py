@@ -1,13 +1,15 @@
 """Quality classifier by importance resampling.
 
 Documents and target texts are bags of hashed word unigrams and bigrams. Two generative models, bucket shares among all documents
-and among the target, give each document the log ratio of its probability under either. Its mean over the document's n-grams, so that
-long and short texts compete alike, over a temperature is the log weight; with Gumbel noise, a function of the document, it is the
-key, and the k largest keys are a sample without replacement in proportion to the weights.
-
-The raw model counts all documents. The target is a bounded sample of rows labelled good, those with the smallest digests.
-Defined results: null and empty texts have the ratio 0; rows equal in id and text share key and fate; without labels every ratio is 0;
-an empty table gives an empty result. Extra columns are ignored.
+and among the target, give each document its importance, the ratio of its probability under the target to that under the raw model.
+The logarithm of that ratio with Gumbel noise, a function of the document, is its key, and the k largest keys are a sample without
+replacement in proportion to the importances. k is given, or the number that rejection sampling would keep on average, which takes a
+document with its importance as probability, at most 1.
+
+The raw model counts all documents. The target is a bounded sample of rows labelled good, those with the smallest digests, and starts
+from the raw model's shares. Defined results: null texts are empty; texts without a word have no importance (null) and are never
+taken; rows equal in id and text share key and fate, so that ties at the last key may give more than k; without labels every ratio is
+1; an empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +28,11 @@ from gramframe.llm.common import by_chunk, chunks, cut
 
 @dataclass(frozen=True)
 class Resampling:
-    """Buckets of either order, most labelled rows that the target takes, n-grams in the shares of the raw model that it starts from, temperature, and the documents to take: None for as many as have a mean log ratio over -margin."""
+    """Buckets of either order, most labelled rows that the target takes, n-grams in the shares of the raw model that it starts from, the documents to take (None: the expected number of rejection sampling), and how many keys are sorted on the driver at most."""
 
     buckets: int = 1 << 14
     target_rows: int = 20_000
     smoothing: float = 1000.0
-    temperature: float = 0.005
-    margin: float = 0.03
     take: int | None = None
     exact_rows: int = 10_000
 
@@ -105,21 +105,23 @@ def least_taken(keys: DataFrame, k: int, exact_rows: int) -> float:
 
 
 def resample(docs: DataFrame, labels: DataFrame, p: Resampling | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(id, log_ratio, mean_ratio, gumbel_key, kept) of each row."""
+    """(id, log_ratio, n_grams, gumbel_key, kept) of each row."""
     p = p or Resampling()
     uniform = (F.pmod(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), uniform.alias("u"))
     good = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(p.target_rows)
     flagged = texts.join(F.broadcast(good.withColumn("good", F.lit(True))), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("target"))
     ratios = log_ratios(bucket_counts(flagged, p), p)
-    mean = F.col("log_ratio") / F.greatest("n_grams", F.lit(1))
-    keys = cut(scores(texts, ratios, p).withColumn("mean_ratio", mean).withColumn("key", mean / p.temperature - F.log(-F.log("u"))), "keys")
-    k = keys.where(F.col("mean_ratio") > -p.margin).count() if p.take is None else min(p.take, keys.count())
-    least = least_taken(keys, k, p.exact_rows) if k else float("inf")
-    return keys.select("id", "log_ratio", "mean_ratio", F.col("key").alias("gumbel_key"), (F.col("key") >= least).alias("kept"))
+    some = F.when(F.col("n_grams") > 0, F.col("log_ratio"))
+    keys = cut(scores(texts, ratios, p).withColumn("log_ratio", some).withColumn("key", F.col("log_ratio") - F.log(-F.log("u"))), "keys")
+    able = keys.where("key is not null")
+    size, expected = able.agg(F.count(F.lit(1)), F.sum(F.exp(F.least("log_ratio", F.lit(0.0))))).first()
+    k = min(round(expected or 0) if p.take is None else p.take, size)
+    least = least_taken(able, k, p.exact_rows) if k else float("inf")
+    return keys.select("id", "log_ratio", "n_grams", F.col("key").alias("gumbel_key"), F.coalesce(F.col("key") >= least, F.lit(False)).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """The log ratio, key and fate of each document."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    return resample(read("documents"), read("labels")).select(F.col("id").alias("doc_id"), "log_ratio", "mean_ratio", "gumbel_key", "kept")
+    return resample(read("documents"), read("labels")).select(F.col("id").alias("doc_id"), "log_ratio", "n_grams", "gumbel_key", "kept")

@@ -5,8 +5,10 @@ whose share among confirmed toxic texts stands out most from their share among u
 numpy to minimise the sigmoid-loss risk of a classifier that sees positive and unlabelled texts only: prior * R+(positive), plus the
 risk of unlabelled texts taken as negative less the share that positives among them explain, which may not fall below zero.
 
-Positives and unlabelled texts are bounded samples, those with the smallest digests, of rows outside the held-out fold; the class
-prior is the share of toxic rows among the labelled ones of that fold unless it is given. Every text is scored whole.
+Positives are a bounded sample of the labelled rows outside the held-out fold, those with the smallest digests; the class prior is the
+share of toxic rows among the labelled ones there unless it is given. Unlabelled texts are all texts outside the fold: features are
+chosen by their counts over all of them, and after a start on a bounded sample the model takes steps along the gradient of the risk
+over all of them, summed by Spark. Every text is scored whole.
 
 Defined results: null texts are empty; empty texts get the score of no feature; a text that is labelled more than once is toxic if
 any row says so; without a positive every score is 0; an empty table gives an empty result; extra columns are ignored.
@@ -23,23 +25,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramframe.llm import textvec as tv
-from gramframe.llm.common import by_chunk, chunks
+from gramframe.llm.common import by_chunk, chunks, cut
 
 
 @dataclass(frozen=True)
 class Toxicity:
-    """Bytes of the runs, buckets of their hashes, features kept, most positive and unlabelled texts, least positive texts with a feature, class prior, and the optimiser's steps."""
+    """Bytes of the runs, buckets of their hashes, features kept, most positive texts, unlabelled texts of the start, least positive texts with a feature, class prior, the optimiser's steps on the start, and its steps over all texts with their rate."""
 
     sizes: tuple[int, ...] = (5, 7)
     buckets: int = 1 << 20
     features: int = 1024
     positives: int = 6000
-    unlabelled: int = 12000
+    start: int = 12000
     least_texts: int = 4
     prior: float | None = None
     steps: int = 400
     rate: float = 0.05
     decay: float = 1e-4
+    passes: int = 8
+    pass_rate: float = 0.01
 
 
 def grams(col: pa.Array, p: Toxicity) -> tuple[np.ndarray, np.ndarray, int]:
@@ -93,22 +97,61 @@ def fit_nnpu(doc_p: np.ndarray, feat_p: np.ndarray, n_p: int, doc_u: np.ndarray,
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, p: Toxicity) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Buckets, weights and bias from (id, text, held_out) and (id, toxic, held_out)."""
+def unlabelled_sums(rows: DataFrame, w: np.ndarray, b: float) -> tuple[float, np.ndarray]:
+    """Over all unlabelled rows of (unl, features): the sum of the model's sigmoid, and of its derivatives by weights and bias."""
+    model = rows.sparkSession.sparkContext.broadcast((w, b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b = model.value
+        total = np.zeros(len(w) + 2)
+        for batch in batches:
+            col = batch.column(0)
+            feature, n = col.flatten().to_numpy(), np.diff(col.offsets.to_numpy())
+            doc = np.repeat(np.arange(len(n)), n)
+            s = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[feature], len(n)) + b, -30, 30)))
+            d = s * (1 - s)
+            total += np.concatenate([np.bincount(feature, d[doc], len(w)), [d.sum(), s.sum()]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["i", "x"])
+
+    found = rows.where("unl").select("features").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()  # a row a weight
+    model.destroy()
+    total = np.zeros(len(w) + 2)
+    for r in found:
+        total[r["i"]] = r["x"]
+    return float(total[-1]), total[:-1]
+
+
+def refine(rows: DataFrame, n_u: int, doc_p: np.ndarray, feat_p: np.ndarray, n_p: int, w: np.ndarray, b: float, prior: float, p: Toxicity) -> tuple[np.ndarray, float]:
+    """Steps along the gradient of the non-negative risk over all unlabelled rows."""
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for t in range(1, p.passes + 1):
+        sp = 1 / (1 + np.exp(-np.clip(np.bincount(doc_p, w[feat_p], n_p) + b, -30, 30)))
+        dp = sp * (1 - sp)
+        su, gu = unlabelled_sums(rows, w, b)
+        gp = np.append(np.bincount(feat_p, dp[doc_p], len(w)), dp.sum()) / n_p
+        g = gu / n_u - 2 * prior * gp if su / n_u >= prior * sp.mean() else prior * gp - gu / n_u
+        g[:-1] += p.decay * w / len(w)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = p.pass_rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    return w, b
+
+
+def train(docs: DataFrame, labels: DataFrame, p: Toxicity) -> tuple[DataFrame, np.ndarray, float] | None:
+    """Written rows (id, held_out, pos, unl, start, features) of all texts, with weights and bias, from (id, text, held_out) and (id, toxic, held_out)."""
     seen = labels.where(~F.col("held_out")).groupBy("id").agg(F.max("toxic").alias("toxic"))
     total, toxic = seen.agg(F.count("toxic"), F.sum("toxic")).first()
     if not toxic:
         return None
-    pick = lambda df, n: df.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(n)
-    ids = pick(seen.where("toxic = 1"), p.positives).withColumn("pos", F.lit(True)).join(pick(docs.where(~F.col("held_out")), p.unlabelled).withColumn("unl", F.lit(True)), "id", "full")
-    ids = F.broadcast(ids.select("id", F.coalesce("pos", F.lit(False)).alias("pos"), F.coalesce("unl", F.lit(False)).alias("unl")))  # at most positives + unlabelled rows
-    sample = docs.select("id", "text").join(ids, "id").select("id", "text", "pos", "unl")
-    sample = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism, "id").persist()
-    counts, n_pos = gram_counts(sample, p), F.lit(float(min(p.positives, toxic)))
-    n_unl = F.lit(float(max(1, sample.where("unl").count())))
-    share = lambda c, n: (F.col(c) + 0.5) / (n + 1)
-    gap = share("pos", n_pos) - share("unl", n_unl)
-    spread = F.sqrt(share("pos", n_pos) * (1 - share("pos", n_pos)) / n_pos + share("unl", n_unl) * (1 - share("unl", n_unl)) / n_unl + 1e-12)
+    ids = seen.where("toxic = 1").select("id").orderBy(F.xxhash64("id"), "id").limit(p.positives).withColumn("pos", F.lit(True))
+    marked = docs.join(F.broadcast(ids), "id", "left").select("id", "text", "held_out", F.coalesce("pos", F.lit(False)).alias("pos"), (~F.col("held_out")).alias("unl"))
+    counts = cut(gram_counts(marked.where("unl").select("id", "text", "pos", "unl"), p), "grams")
+    n_p, n_u = marked.agg(F.count_if("pos"), F.count_if("unl")).first()
+    if not n_p or not n_u:
+        return None
+    share = lambda c, n: (F.col(c) + 0.5) / F.lit(n + 1.0)
+    gap = share("pos", n_p) - share("unl", n_u)
+    spread = F.sqrt(share("pos", n_p) * (1 - share("pos", n_p)) / n_p + share("unl", n_u) * (1 - share("unl", n_u)) / n_u + 1e-12)
     best = counts.where(F.col("pos") >= p.least_texts).orderBy(F.desc(F.abs(gap / spread)), "bucket").limit(p.features).select("bucket").collect()
     buckets = np.sort(np.array([r[0] for r in best], np.int64))
     if not len(buckets):
@@ -116,18 +159,18 @@ def train(docs: DataFrame, labels: DataFrame, p: Toxicity) -> tuple[np.ndarray,
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         doc, feature, n = features(part.column(1), buckets, p)
-        return pa.RecordBatch.from_arrays([part.column(2), part.column(3), tv.lists(feature, np.searchsorted(doc, np.arange(n + 1)), pa.int32())], ["pos", "unl", "features"])
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), part.column(4), tv.lists(feature, np.searchsorted(doc, np.arange(n + 1)), pa.int32())], ["id", "held_out", "pos", "unl", "features"])
 
-    rows = sample.mapInArrow(by_chunk(make, "text"), "pos boolean, unl boolean, features array<int>").toPandas()
-    sample.unpersist()
+    rows = cut(marked.mapInArrow(by_chunk(make, "text"), "id long, held_out boolean, pos boolean, unl boolean, features array<int>"), "features")
+    positive = rows.where("pos").select("features")
+    start = rows.where("unl").orderBy(F.xxhash64("id"), "id").limit(p.start).select("features")
     sides = []
-    for kind in ("pos", "unl"):
-        bags = rows["features"][rows[kind]].tolist()
+    for side in (positive, start):
+        bags = side.toPandas()["features"].tolist()  # at most positives rows, or start rows
         sides += [np.repeat(np.arange(len(bags)), [len(x) for x in bags]), np.concatenate([*map(np.asarray, bags), np.zeros(0, np.int64)]).astype(np.int64), len(bags)]
-    if not sides[2] or not sides[5]:
-        return None
-    w, b = fit_nnpu(*sides, len(buckets), p.prior or toxic / total, p)
-    return buckets, w, b
+    prior = p.prior or toxic / total
+    w, b = fit_nnpu(*sides, len(buckets), prior, p)
+    return rows, *refine(rows, n_u, *sides[:3], w, b, prior, p)
 
 
 def features(col: pa.Array, buckets: np.ndarray, p: Toxicity) -> tuple[np.ndarray, np.ndarray, int]:
@@ -146,14 +189,16 @@ def score(docs: DataFrame, labels: DataFrame, held_out, p: Toxicity | None = Non
     model = train(texts, labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic"), held_out(F.col(id_col)).alias("held_out")), p)
     if model is None:
         return texts.select("id", "held_out", F.lit(0.0).alias("score"))
-    buckets, w, b = model
+    rows, w, b = model
 
-    def make(part: pa.RecordBatch) -> pa.RecordBatch:
-        doc, feature, n = features(part.column(1), buckets, p)
-        z = np.bincount(doc, w[feature], n) + b
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "held_out", "score"])
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(2)
+            n = np.diff(col.offsets.to_numpy())
+            z = np.bincount(np.repeat(np.arange(len(n)), n), w[col.flatten().to_numpy()], len(n)) + b
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "held_out", "score"])
 
-    return texts.mapInArrow(by_chunk(make, "text"), "id long, held_out boolean, score double")
+    return rows.select("id", "held_out", "features").mapInArrow(make, "id long, held_out boolean, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

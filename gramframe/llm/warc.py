@@ -1,14 +1,15 @@
 """WARC archives and an external merge of their index.
 
-Records are put together as text and written by Spark's own writer, so archives reach any store that Spark can write and a lost
-executor leaves no half-written file. Payloads that occur more than once are stored once: the capture with the smallest id is a
+Records are put together as text, gathered to archives of a bounded size and written by Spark's own writer, so archives reach any store
+that Spark can write and a lost executor leaves no half-written file. Payloads that occur more than once are stored once: the capture with the smallest id is a
 response, the others are revisits that refer to it. Read back record by record by their Content-Length, each archive gives a run of
 its captures sorted by URL key, time and id; runs meet in key ranges, where a loser tree merges them, so that the parts of the
 result, one after another, hold each URL's captures in order of time.
 
 Defined results: null html is an empty payload; a null url has no target header and the URL key ''; control characters in a url are
-percent-encoded in its header; rows with equal id and payload are captures alike, all responses or all revisits; ties in key and time
-go by id; an empty table gives an empty result; extra columns are ignored.
+percent-encoded in its header; rows with equal id and payload are captures alike, all responses or all revisits, under one record id;
+a null id is written as "none", is always a response and comes first in ties; ties in key and time go by id; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramframe.llm.common import cut, shared_dir, sized
+from gramframe.llm.common import cut, join_split, shared_dir, sized
 
 INDEX = "page_id long, url string, url_key string, time string, archive string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 @dataclass(frozen=True)
 class Warc:
-    """Least bytes of a payload that is stored once, records a file at most, and index rows that one task merges."""
+    """Least bytes of a payload that is stored once, bytes of an archive (a longer record has one of its own), and index rows that one task merges."""
 
     min_bytes: int = 0
-    file_records: int = 4000
+    file_bytes: int = 16 << 20
     merge_rows: int = 200_000
 
 
@@ -58,8 +59,8 @@ def records(pages: DataFrame, p: Warc) -> DataFrame:
     """(record) of each row of (page_id, url, html, time), without the line feed that ends it."""
     rows = pages.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("bytes", F.octet_length("html").cast("long"))
     ids = rows.where(F.col("bytes") >= p.min_bytes).select("page_id", "digest")
-    first = ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    revisits = cut(ids.join(first, "digest").where("page_id != first").select("page_id", "digest", "first").distinct(), "revisits")
+    first = cut(ids.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "first")
+    revisits = cut(join_split(ids, first, ["digest"]).where("page_id != first").select("page_id", "digest", "first").distinct(), "revisits")
     marked = rows.join(sized(revisits), ["page_id", "digest"], "left")
     again = F.col("first").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -69,7 +70,7 @@ def records(pages: DataFrame, p: Warc) -> DataFrame:
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(again, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(">"))),
         F.coalesce(line("WARC-Target-URI", safe), F.lit("")),
         line("WARC-Date", F.col("time")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32(F.col("digest")))),
@@ -85,7 +86,28 @@ def write_archives(pages: DataFrame, path: str, p: Warc | None = None, id_col: s
     """Write a record of each row to archives under path. time: ISO text by UTC, such as 2024-01-31T23:59:59Z."""
     p = p or Warc()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), (F.lit("1970-01-01T00:00:00Z") if time is None else time).alias("time"))
-    records(rows, p).write.option("maxRecordsPerFile", p.file_records).option("lineSep", "\n").text(path)
+    gathered = records(rows, p).mapInArrow(archives(p), "value string")
+    gathered.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+
+
+def archives(p: Warc):
+    """A function for mapInArrow that joins records to whole archives, less the line feed behind the last, which the writer adds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([b"\n".join(held)], pa.binary()).cast(pa.string())], ["value"])
+        for batch in batches:
+            for record in batch.column(0).cast(pa.binary()):
+                value = record.as_py()
+                if held and size + len(value) > p.file_bytes:
+                    yield pack()
+                    held, size = [], 0
+                held.append(value)
+                size += len(value) + 1
+        if held:
+            yield pack()
+
+    return run
 
 
 def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
@@ -114,7 +136,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for at, size, headers, block in parse(content):
             http, _, payload = block.partition(b"\r\n\r\n")
             digest = headers["warc-payload-digest"].removeprefix("sha1:")
-            number = lambda x: int(x.strip("<>").rsplit(":", 1)[1])
+            number = lambda x: None if x.endswith(":none>") else int(x.strip("<>").rsplit(":", 1)[1])
             if headers["warc-type"] == "response":
                 if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                     raise ValueError(f"the payload at {at} of {name} is damaged")
@@ -174,7 +196,7 @@ def merge_index(runs: DataFrame, p: Warc) -> DataFrame:
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        key = list(zip(*[table.column(k).to_pylist() for k in keys]))
+        key = [tuple((v is not None, v) for v in row) for row in zip(*[table.column(k).to_pylist() for k in keys])]
         starts = [0, *(i for i in range(1, len(key)) if key[i] < key[i - 1])]  # where a run of rising keys begins
         order = [i for _, i in LoserTree([((key[i], i) for i in range(a, b)) for a, b in zip(starts, [*starts[1:], len(key)])])]
         base = TaskContext.get().partitionId() << 40
