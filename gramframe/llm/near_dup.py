@@ -6,8 +6,10 @@ Jaccard similarity of the sets, and as each distinct shingle weighs 1, that is t
 text's processes end once no further arrival can win a component.
 
 Equal texts are one node from the start. Texts that share a band are candidates; in each bucket the member that meets most others
-is compared with the rest, so a bucket of n gives n - 1 pairs. What this leaves in more than one class is compared across classes,
-in blocks. Links are verified on the whole shingle sets, and their components are the classes.
+is compared with the rest, so a bucket of n gives n - 1 pairs. What this leaves in more than one class is compared across classes, in
+blocks: first each member with the one of each other class whose signature agrees best, as one link joins two classes; then, in what
+is still apart, all pairs whose signatures agree nearly enough. Links are verified on the whole shingle sets, and their components
+are the classes.
 
 Defined results: null texts are empty; texts without a word are alike only if equal; a text of one to four words is one shingle;
 rows with equal text always share a class, whatever their doc_id; a null doc_id comes after all others; an empty table gives an empty result. Other columns are ignored.
@@ -117,9 +119,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across(rows: DataFrame, p: NearDup) -> DataFrame:
+def across(rows: DataFrame, p: NearDup, best: bool) -> DataFrame:
     """Pairs of members of one bucket and different classes whose signatures agree nearly enough for a link: in at least the share
-    `similarity` less 5 standard errors of it, which a few of a million links miss. rows: (band, key, node, bands, signature, label, main, size).
+    `similarity` less 3.7 standard errors of it, which one link in ten thousand misses, as many as no band finds. rows: (band, key, node,
+    bands, signature, label, main, size). best: of each member's pairs with a class, only the one that agrees best.
 
     Members of a bucket's main class stand in one block each; the others are in every block, so that each pair meets in some block.
     """
@@ -132,13 +135,18 @@ def across(rows: DataFrame, p: NearDup) -> DataFrame:
 
         bands, label, node = np.array(batch["bands"].tolist(), np.int64), batch["label"].to_numpy(), batch["node"].to_numpy()
         sig = np.stack([np.frombuffer(x, np.uint32) for x in batch["signature"]])
-        least = p.similarity - 5 * (p.similarity * (1 - p.similarity) / sig.shape[1]) ** 0.5
+        least = p.similarity - 3.7 * (p.similarity * (1 - p.similarity) / sig.shape[1]) ** 0.5
         _, label = np.unique(np.array([x.hex() for x in label]), return_inverse=True)
         band, block, home, out = int(batch["band"].iloc[0]), int(batch["block"].iloc[0]), batch["home"].to_numpy(), []
         for i in np.flatnonzero(~batch["main"].to_numpy()):
-            same = bands == bands[i]
-            ok = np.flatnonzero((label != label[i]) & (same.argmax(1) == band) & (home == block))
-            out += [(node[i], node[j]) for j in ok[(sig[ok] == sig[i]).mean(1) >= least]]
+            ok = np.flatnonzero((label != label[i]) & (home == block))
+            ok = ok[(bands[ok] == bands[i]).argmax(1) == band]  # pairs that meet in an earlier band are compared there
+            agree = (sig[ok] == sig[i]).mean(1)
+            ok, agree = ok[agree >= least], agree[agree >= least]
+            if best and len(ok):
+                order = np.lexsort((ok, -agree, label[ok]))
+                ok = ok[order][np.unique(label[ok][order], return_index=True)[1]]
+            out += [(node[i], node[j]) for j in ok]
         return pd.DataFrame(out, columns=["a", "b"])
 
     return spread.groupBy("band", "key", "block").applyInPandas(pairs, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -162,15 +170,19 @@ def near_duplicates(docs: DataFrame, p: NearDup | None = None, id_col: str = "do
     one_each = members.select("node").distinct().join(once.select("node", "id"), "node")
     sets = cut(shingle_sets(rows.join(one_each.toDF("of_node", "of_id"), same, "left_semi"), p.words).dropDuplicates(["node"]), "sets")
     links = cut(verified(stars, sets, p.similarity), "links")
-    labels = components(links)
-    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    tally = named.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = tally.groupBy("band", "key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label")).getField("label").alias("most")).where("classes > 1").drop("classes")
-    open_rows = named.join(mixed, ["band", "key"]).withColumn("main", F.col("label") == F.col("most")).join(once, "node").join(sketch.select(F.col("id").alias("of_id"), F.col("node").alias("of_node"), "signature").dropDuplicates(["of_id", "of_node"]), same).select("band", "key", "node", "bands", "signature", "label", "main", "size")
-    more = cut(across(open_rows, p).join(stars, ["a", "b"], "left_anti"), "pairs")
-    new = cut(verified(more, sets, p.similarity), "links")
-    if not new.isEmpty():
-        labels = components(links.union(new))
+    labels, tried = components(links), stars
+    signed = sketch.select(F.col("id").alias("of_id"), F.col("node").alias("of_node"), "signature").dropDuplicates(["of_id", "of_node"])
+    for best in (True, False):
+        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        tally = named.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = tally.groupBy("band", "key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label")).getField("label").alias("most")).where("classes > 1").drop("classes")
+        apart = named.join(mixed, ["band", "key"]).withColumn("main", F.col("label") == F.col("most")).join(once, "node").join(signed, same).select("band", "key", "node", "bands", "signature", "label", "main", "size")
+        more = cut(across(apart, p, best).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(more)
+        new = cut(verified(more, sets, p.similarity), "links")
+        if not new.isEmpty():
+            links = links.union(new)
+            labels = components(links)
     ids = rows.groupBy("node").agg(F.min("id").alias("least_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = cut(ids, "ids")
     least = ids.groupBy("label").agg(F.min(F.struct(F.col("least_id").isNull().alias("last"), "least_id", "node")).alias("least")).select("label", F.col("least.least_id").alias("class_id"), F.col("least.node").alias("class_node"))

@@ -388,3 +388,21 @@ def test_heavy_and_light_keys_join_alike(spark):
     keys = rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
     got = join_split(rows, keys, ["k"])
     assert got.count() == 6000 and got.select("id").distinct().count() == 6000
+
+
+def test_near_duplicates_with_repeats_against_brute_force(spark):
+    """Recall of links between texts whose shingles repeat, in one group of near copies."""
+    rng, base, texts = np.random.default_rng(15), [f"w{i}" for i in range(120)], []
+    for k in range(60):
+        own = list(base)
+        for j in rng.choice(120, rng.integers(1, 6), replace=False):
+            own[j] = f"x{k}_{j}"
+        texts.append((k, " ".join(own + own[:10] * int(rng.integers(0, 4)))))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = root[a], root[b]
+            root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    got = {r["id"]: r["class_id"] for r in near_dup.near_duplicates(frame(spark, texts), near_dup.NearDup(block=20)).collect()}
+    assert got == root and 1 < len(set(root.values())) < 60
