@@ -7,8 +7,8 @@ text's processes end once no further arrival can win a component.
 
 Equal texts are one node from the start. Texts that share a band are candidates; in each bucket the member that meets most others
 is compared with the rest, so a bucket of n gives n - 1 pairs. What this leaves in more than one class is compared across classes, in
-blocks: first each member with the one of each other class whose signature agrees best, as one link joins two classes; then, in what
-is still apart, all pairs whose signatures agree nearly enough. Links are verified on the whole shingle sets, and their components
+blocks that have the shingle sets: those whose signatures agree nearly enough are verified there, the best first, and a member gives
+one link a class that it joins, so that no list of pairs is made. Links are verified on the whole shingle sets, and their components
 are the classes.
 
 Defined results: null texts are empty; texts without a word are alike only if equal; a text of one to four words is one shingle;
@@ -36,7 +36,7 @@ class NearDup:
     similarity: float = 0.8
     bands: int = 30
     rows: int = 6
-    block: int = 2000
+    block: int = 1000
     seed: int = 1
 
 
@@ -84,13 +84,15 @@ def sketches(texts: DataFrame, p: NearDup) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(node, ids) with the distinct shingles of each text."""
+    """(node, ids, brief) with the distinct shingles of each text; brief: 32 bits of each, sorted, as bytes."""
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         doc, ids, _, n = tv.distinct_shingles(part.column(1), words)
-        return pa.RecordBatch.from_arrays([part.column(0), tv.lists(ids.view(np.int64), np.searchsorted(doc, np.arange(n + 1)), pa.int64())], ["node", "ids"])
+        at = np.searchsorted(doc, np.arange(n + 1))
+        brief = [np.unique(ids[a:b].astype(np.uint32)).tobytes() for a, b in zip(at[:-1], at[1:])]
+        return pa.RecordBatch.from_arrays([part.column(0), tv.lists(ids.view(np.int64), at, pa.int64()), pa.array(brief, pa.binary())], ["node", "ids", "brief"])
 
-    return texts.select("node", "text").mapInArrow(by_chunk(make, "text"), "node binary, ids array<long>")
+    return texts.select("node", "text").mapInArrow(by_chunk(make, "text"), "node binary, ids array<long>, brief binary")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -119,10 +121,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across(rows: DataFrame, p: NearDup, best: bool) -> DataFrame:
-    """Pairs of members of one bucket and different classes whose signatures agree nearly enough for a link: in at least the share
-    `similarity` less 3.7 standard errors of it, which one link in ten thousand misses, as many as no band finds. rows: (band, key, node,
-    bands, signature, label, main, size). best: of each member's pairs with a class, only the one that agrees best.
+def across(rows: DataFrame, p: NearDup) -> DataFrame:
+    """Links between members of one bucket and different classes, as many as join what can be joined. Pairs whose signatures agree in less
+    than the share `similarity` less 3.7 standard errors of it are left out, which one link in ten thousand is, as many as no band finds.
+    Of the others 32 bits a shingle are compared, the pair that agrees best first, until a member has joined each class that it meets.
+    rows: (band, key, node, bands, signature, brief, label, main, size).
 
     Members of a bucket's main class stand in one block each; the others are in every block, so that each pair meets in some block.
     """
@@ -130,26 +133,30 @@ def across(rows: DataFrame, p: NearDup, best: bool) -> DataFrame:
     own = (F.pmod(F.xxhash64("node"), blocks)).cast("int")
     spread = rows.withColumn("block", F.explode(F.when(F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), blocks - 1)))).withColumn("home", own)
 
-    def pairs(batch):
+    def links(batch):
         import pandas as pd
 
-        bands, label, node = np.array(batch["bands"].tolist(), np.int64), batch["label"].to_numpy(), batch["node"].to_numpy()
+        bands, node = np.array(batch["bands"].tolist(), np.int64), batch["node"].to_numpy()
         sig = np.stack([np.frombuffer(x, np.uint32) for x in batch["signature"]])
+        sets = [np.frombuffer(x, np.uint32) for x in batch["brief"]]
         least = p.similarity - 3.7 * (p.similarity * (1 - p.similarity) / sig.shape[1]) ** 0.5
-        _, label = np.unique(np.array([x.hex() for x in label]), return_inverse=True)
+        label = np.unique(np.array([x.hex() for x in batch["label"]]), return_inverse=True)[1]
         band, block, home, out = int(batch["band"].iloc[0]), int(batch["block"].iloc[0]), batch["home"].to_numpy(), []
         for i in np.flatnonzero(~batch["main"].to_numpy()):
             ok = np.flatnonzero((label != label[i]) & (home == block))
             ok = ok[(bands[ok] == bands[i]).argmax(1) == band]  # pairs that meet in an earlier band are compared there
             agree = (sig[ok] == sig[i]).mean(1)
             ok, agree = ok[agree >= least], agree[agree >= least]
-            if best and len(ok):
-                order = np.lexsort((ok, -agree, label[ok]))
-                ok = ok[order][np.unique(label[ok][order], return_index=True)[1]]
-            out += [(node[i], node[j]) for j in ok]
+            for j in ok[np.lexsort((ok, -agree))]:
+                if label[j] == label[i]:
+                    continue  # joined through another member
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= p.similarity * (len(sets[i]) + len(sets[j]) - both):
+                    out.append((node[i], node[j]))
+                    label[label == label[j]] = label[i]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return spread.groupBy("band", "key", "block").applyInPandas(pairs, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return spread.groupBy("band", "key", "block").applyInPandas(links, "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, p: NearDup | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,19 +177,15 @@ def near_duplicates(docs: DataFrame, p: NearDup | None = None, id_col: str = "do
     one_each = members.select("node").distinct().join(once.select("node", "id"), "node")
     sets = cut(shingle_sets(rows.join(one_each.toDF("of_node", "of_id"), same, "left_semi"), p.words).dropDuplicates(["node"]), "sets")
     links = cut(verified(stars, sets, p.similarity), "links")
-    labels, tried = components(links), stars
+    labels = components(links)
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tally = named.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = tally.groupBy("band", "key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label")).getField("label").alias("most")).where("classes > 1").drop("classes")
     signed = sketch.select(F.col("id").alias("of_id"), F.col("node").alias("of_node"), "signature").dropDuplicates(["of_id", "of_node"])
-    for best in (True, False):
-        named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        tally = named.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
-        mixed = tally.groupBy("band", "key").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "label")).getField("label").alias("most")).where("classes > 1").drop("classes")
-        apart = named.join(mixed, ["band", "key"]).withColumn("main", F.col("label") == F.col("most")).join(once, "node").join(signed, same).select("band", "key", "node", "bands", "signature", "label", "main", "size")
-        more = cut(across(apart, p, best).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(more)
-        new = cut(verified(more, sets, p.similarity), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = components(links)
+    apart = named.join(mixed, ["band", "key"]).withColumn("main", F.col("label") == F.col("most")).join(once, "node").join(signed, same).join(sets.select("node", "brief"), "node").select("band", "key", "node", "bands", "signature", "brief", "label", "main", "size")
+    new = cut(verified(across(apart, p), sets, p.similarity), "links")
+    if not new.isEmpty():
+        labels = components(links.union(new))
     ids = rows.groupBy("node").agg(F.min("id").alias("least_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = cut(ids, "ids")
     least = ids.groupBy("label").agg(F.min(F.struct(F.col("least_id").isNull().alias("last"), "least_id", "node")).alias("least")).select("label", F.col("least.least_id").alias("class_id"), F.col("least.node").alias("class_node"))
