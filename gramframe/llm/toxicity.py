@@ -60,6 +60,20 @@ def once(doc: np.ndarray, feature: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return key // n, key % n
 
 
+def once_a_text(doc: np.ndarray, bucket: np.ndarray, n: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of texts and buckets in order of texts, without a sort of the buckets: of equal ones in a text the last written holds the place."""
+    order = np.argsort(doc, kind="stable")
+    bucket, ends = bucket[order], np.cumsum(np.bincount(doc, minlength=n))
+    place, number, keep = np.zeros(buckets, np.int32), np.arange(len(bucket), dtype=np.int32), np.zeros(len(bucket), bool)
+    start = 0
+    for end in ends.tolist():
+        own = bucket[start:end]
+        place[own] = number[start:end]
+        keep[start:end] = place[own] == number[start:end]
+        start = end
+    return doc[order][keep], bucket[keep]
+
+
 def gram_counts(sample: DataFrame, p: Toxicity) -> DataFrame:
     """(bucket, pos, unl): texts of either kind that have it."""
 
@@ -67,7 +81,7 @@ def gram_counts(sample: DataFrame, p: Toxicity) -> DataFrame:
         counts = np.zeros((2, p.buckets), np.int64)
         for batch in batches:
             for part in chunks(batch, "text"):
-                doc, bucket = once(*grams(part.column(1), p)[:2], p.buckets)
+                doc, bucket = once_a_text(*grams(part.column(1), p), p.buckets)
                 for j in (0, 1):
                     counts[j] += np.bincount(bucket[part.column(2 + j).to_numpy(zero_copy_only=False)[doc]], minlength=p.buckets)
         some = np.flatnonzero(counts[0] + counts[1])

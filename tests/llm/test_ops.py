@@ -406,3 +406,10 @@ def test_near_duplicates_with_repeats_against_brute_force(spark):
             root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
     got = {r["id"]: r["class_id"] for r in near_dup.near_duplicates(frame(spark, texts), near_dup.NearDup(block=20)).collect()}
     assert got == root and 1 < len(set(root.values())) < 60
+
+
+def test_distinct_grams_of_each_text():
+    rng = np.random.default_rng(16)
+    doc, bucket = rng.integers(0, 9, 4000), rng.integers(0, 50, 4000)
+    got = toxicity.once_a_text(doc, bucket, 10, 50)
+    assert sorted(zip(*map(np.ndarray.tolist, got))) == sorted(set(zip(doc.tolist(), bucket.tolist())))
