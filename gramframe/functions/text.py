@@ -11,6 +11,11 @@ Featurizer = Callable[[Column], Column]
 _none = lambda: F.array().cast("array<string>")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value found once a row: what a lambda names is found anew for each of its elements, and the optimiser moves a column that is named once into it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def windows(words: Column, k: int) -> Column:
     """All runs of k words as structs with the fields 0 to k - 1: shifted slices side by side, so that the cost is linear in the line."""
     runs = F.greatest(F.size(words) - (k - 1), F.lit(0))

@@ -49,6 +49,12 @@ def word_array(vocab: DataFrame) -> DataFrame:
     return vocab.agg(F.sort_array(F.collect_list("word_id")).alias("words"))
 
 
+def log_sum_exp(scores: Column) -> Column:
+    """The log of the sum of exp over an array, in one pass with the largest score so far and the sum relative to it."""
+    step = lambda a, x: F.struct(F.greatest(a["top"], x).alias("top"), (a["sum"] * F.exp(a["top"] - F.greatest(a["top"], x)) + F.exp(x - F.greatest(a["top"], x))).alias("sum"))
+    return F.aggregate(scores, F.struct(F.lit(-1e300).alias("top"), F.lit(0.0).alias("sum")), step, lambda a: a["top"] + F.ln(a["sum"]))
+
+
 def partitions(contexts: DataFrame, vocab: DataFrame, theta=theta_of) -> DataFrame:
     """(ctx, fids, words, scores, logz): the whole vocabulary's scores in each distinct context, side by side in its row. Contexts are dealt
     to tasks and meet the vocabulary there, so nothing of that size is shuffled. logz goes by the largest score, so that nothing overflows."""
@@ -56,8 +62,7 @@ def partitions(contexts: DataFrame, vocab: DataFrame, theta=theta_of) -> DataFra
     tasks = max(each.sparkSession.sparkContext.defaultParallelism, -(-each.count() // CONTEXTS_A_TASK))
     every = each.repartition(tasks, "ctx").join(F.broadcast(word_array(vocab)))
     scored = every.withColumn("scores", F.transform("words", lambda w: score_of(w, F.col("fids"), theta)))
-    top = F.array_max("scores")
-    return scored.withColumn("logz", top + F.ln(F.aggregate(F.transform("scores", lambda x: F.exp(x - F.array_max("scores"))), F.lit(0.0), lambda a, x: a + x)))
+    return scored.withColumn("logz", log_sum_exp(F.col("scores")))
 
 
 def log_partition(contexts: DataFrame, vocab: DataFrame, theta=theta_of) -> DataFrame:
@@ -66,10 +71,7 @@ def log_partition(contexts: DataFrame, vocab: DataFrame, theta=theta_of) -> Data
     tasks = max(each.sparkSession.sparkContext.defaultParallelism, -(-each.count() // CONTEXTS_A_TASK))
     every = each.repartition(tasks, "ctx").join(F.broadcast(word_array(vocab)))
     scored = F.transform("words", lambda w: score_of(w, F.col("fids"), theta))
-    # one pass with the largest score so far and the sum relative to it
-    step = lambda a, x: F.struct(F.greatest(a["top"], x).alias("top"), (a["sum"] * F.exp(a["top"] - F.greatest(a["top"], x)) + F.exp(x - F.greatest(a["top"], x))).alias("sum"))
-    start = F.struct(F.lit(-1e300).alias("top"), F.lit(0.0).alias("sum"))
-    return cut(every.select("ctx", "fids", F.aggregate(scored, start, step, lambda a: a["top"] + F.ln(a["sum"])).alias("logz")), "logz")
+    return cut(every.select("ctx", "fids", log_sum_exp(scored).alias("logz")), "logz")
 
 
 def softmax_logprob(pairs: DataFrame, contexts: DataFrame, vocab: DataFrame, theta=theta_of) -> DataFrame:

@@ -212,3 +212,16 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in C.external_scores(out).collect()] == [("w", -1.5)]
     C.save_text(spark.createDataFrame([("f", 0.5)], "name string, weight double"), str(tmp_path / "w"), "name", "weight")
     assert spark.read.text(str(tmp_path / "w")).first()[0] == "f 0.5"
+
+
+def test_once_finds_its_value_once_a_row(spark):
+    runs = lambda of: F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: of))
+    for r in spark.range(5).select(X.once(F.rand(), runs).alias("x")).collect():
+        assert len(r["x"]) == 1
+    assert spark.range(1).select(X.once(F.lit(None).cast("int"), lambda x: F.coalesce(x, F.lit(7)))).first()[0] == 7
+
+
+def test_log_sum_exp_does_not_overflow(spark):
+    got = spark.createDataFrame([([1000.0, 1000.0, -1000.0],), ([0.5],), ([-800.0, -801.0],)], "x array<double>").select(loglinear.log_sum_exp(F.col("x"))).collect()
+    for r, want in zip(got, (1000 + math.log(2), 0.5, -800 + math.log1p(math.exp(-1)))):
+        assert r[0] == pytest.approx(want, rel=1e-12)
