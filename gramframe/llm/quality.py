@@ -64,7 +64,7 @@ class Quality:
 
 
 def figures(texts: DataFrame, p: Quality) -> DataFrame:
-    """(id, node, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, chars, common) of each row of (id, node, lang, text)."""
+    """(id, node, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, p, q) of each row of (id, node, lang, text): p and q are the shares of character classes and common words."""
     data, offs = tv.utf8(pa.array(WORDS))
     known = tv.Words(data, offs).hash
     order = np.argsort(known)
@@ -101,17 +101,17 @@ def figures(texts: DataFrame, p: Quality) -> DataFrame:
             dup.append(len(lines) - len(set(lines)))
         longs = lambda x: pa.array(np.asarray(x, np.int64))
         return pa.RecordBatch.from_arrays(
-            [part.column(0), part.column(1), part.column(2), longs(words.count), longs(chars.sum(1) - chars[:, 3]), longs(chars[:, 4]), longs(dup), longs(np.bincount(words.doc[repeated], minlength=n)), tv.lists(chars.ravel(), np.arange(n + 1) * 8, pa.int64()), tv.lists(common.ravel(), np.arange(n + 1) * (k + 1), pa.int64())],
-            ["id", "node", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common"],
+            [part.column(0), part.column(1), part.column(2), longs(words.count), longs(chars.sum(1) - chars[:, 3]), longs(chars[:, 4]), longs(dup), longs(np.bincount(words.doc[repeated], minlength=n)), tv.lists(shares(chars), np.arange(n + 1) * 8, pa.float64()), tv.lists(shares(common), np.arange(n + 1) * (k + 1), pa.float64())],
+            ["id", "node", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "p", "q"],
         )
 
-    kinds = "id long, node binary, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, common array<long>"
+    kinds = "id long, node binary, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, p array<double>, q array<double>"
     return texts.select("id", "node", "lang", "text").mapInArrow(by_chunk(make, "text"), kinds)
 
 
-def shares(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
+def shares(counts: np.ndarray) -> np.ndarray:
+    """Each row's counts over their sum, one row after another; zeros where that is none."""
+    return (counts / np.maximum(counts.sum(1, keepdims=True), 1)).ravel()
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -136,7 +136,7 @@ def judge(docs: DataFrame, p: Quality | None = None, id_col: str = "doc_id", tex
     p = p or Quality()
     texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("node"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     failed = (F.col("n_words") < p.base_words) | (100 * F.col("n_repeat_words") > p.repeat_percent * F.col("n_words"))
-    rows = cut(figures(texts, p).withColumn("base_failed", failed).withColumn("p", shares(F.col("chars"))).withColumn("q", shares(F.col("common"))).drop("chars", "common"), "figures")
+    rows = cut(figures(texts, p).withColumn("base_failed", failed), "figures")
     room = lambda x: x / F.sqrt(F.greatest("n_words", F.lit(1)))
     of_chars = (F.col("word_chars") < p.min_chars) | (F.col("char_distance") <= p.char_distance + room(F.lit(p.char_allowance)))
     of_words = (F.col("n_words") < p.min_words) | (F.col("word_distance") <= p.word_distance + room(F.lit(p.word_allowance)))
