@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramframe.functions.text import once  # noqa: F401
 from gramframe.sources.stage import BROADCAST_ROWS, cut, shared_dir, sized  # noqa: F401
 
 #: Bytes of text that one step of vectorised work takes.

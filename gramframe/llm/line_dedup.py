@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramframe.llm import textvec as tv
-from gramframe.llm.common import by_chunk, cut, join_split, text_key
+from gramframe.llm.common import by_chunk, cut, join_split, once, text_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -129,10 +129,11 @@ def dropped_lines(docs: DataFrame, p: LineDedup | None = None, id_col: str = "do
     near = join_split(halves, shared, ["half"]).select("key").distinct().join(firsts.select("key", "first"), "key")
     wanted = near.select("key", "first", F.col("first.id").alias("id"), F.col("first.node").alias("node"), F.col("first.line").alias("line")).groupBy("id", "node").agg(F.collect_list(F.struct("line", "key", "first")).alias("want"))
     wanted = wanted.withColumnsRenamed({"id": "of_id", "node": "of_node"})
-    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("node") == F.col("of_node"))).select(F.explode("want").alias("w"), F.split("text", "\n").alias("parts"))
+    asked = lambda parts: F.transform("want", lambda w: F.struct(w["key"].alias("key"), w["first"].alias("first"), F.element_at(parts, w["line"] + 1).alias("text")))
+    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("node") == F.col("of_node"))).select(F.explode(once(F.split("text", "\n"), asked)).alias("w"))
     # the order of firsts with seven bytes of the digest, as millions of variants carry it
     brief = F.struct(F.col("w.first.id"), F.conv(F.hex(F.substring("w.first.node", 1, 7)), 16, 10).cast("long").alias("node"), F.col("w.first.line")).alias("first")
-    survivors = cut(found.select("w.key", brief, F.element_at("parts", F.col("w.line") + 1).alias("text")).dropDuplicates(["key"]), "survivors")
+    survivors = cut(found.select("w.key", brief, "w.text").dropDuplicates(["key"]), "survivors")
     keyed = cut(variants(survivors), "variants")
     own = keyed.where("place < 0").select("variant", F.col("key").alias("own"), F.col("first").alias("own_first"))
     less = cut(keyed.where("place >= 0").groupBy("variant", "place").agg(F.min(F.struct("first", "key")).alias("least"), F.count(F.lit(1)).alias("rows")), "less")
@@ -156,9 +157,8 @@ def dedup_lines(docs: DataFrame, p: LineDedup | None = None, id_col: str = "doc_
     text = F.col(text_col)
     parts = F.split(F.coalesce(text, F.lit("")), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone_lines"))
-    left = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines_of"), i)), "\n")
+    left = once(parts, lambda of: F.array_join(F.transform(stay, lambda i: F.get(of, i)), "\n"))
     joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("gone_id")) & (text_key(docs[text_col]) == F.col("gone_node")), "left")
-    joined = joined.withColumn("lines_of", F.when(F.col("gone_lines").isNotNull(), parts))
     return joined.select(*[(F.when(F.col("gone_lines").isNull(), text).otherwise(left).alias(c) if c == text_col else docs[c]) for c in docs.columns], F.size(parts).alias("n_lines"), F.coalesce(F.size("gone_lines"), F.lit(0)).alias("n_dropped_lines"))
 
 

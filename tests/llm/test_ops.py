@@ -413,3 +413,11 @@ def test_distinct_grams_of_each_text():
     doc, bucket = rng.integers(0, 9, 4000), rng.integers(0, 50, 4000)
     got = toxicity.once_a_text(doc, bucket, 10, 50)
     assert sorted(zip(*map(np.ndarray.tolist, got))) == sorted(set(zip(doc.tolist(), bucket.tolist())))
+
+
+def test_line_dedup_of_a_long_document_with_near_lines(spark):
+    line = lambda i, word: f"the {i} of many long lines says {word} about matter number {i * i}"
+    docs = frame(spark, [(1, "\n".join(line(i, "this") for i in range(6000))), (2, "\n".join(line(i, "that" if i % 2 else "this") for i in range(9000)))])
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[1]["n_dropped_lines"] == 0 and got[2]["n_dropped_lines"] == 6000
+    assert got[2]["text"] == "\n".join(line(i, "that" if i % 2 else "this") for i in range(6000, 9000))
