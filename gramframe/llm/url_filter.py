@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramframe.llm.common import cut, sized
+from gramframe.llm.common import cut, once, sized
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -32,11 +32,15 @@ def keys(url: Column) -> Column:
     text = F.lower(F.coalesce(url, F.lit("")))
     host = F.regexp_extract(text, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
     path = F.regexp_extract(text, r"^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.split(path, "/")
-    prefixes = F.when(F.size(parts) > 2, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.concat(host, F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
-    return F.when(host == "", F.array(F.lit("*"))).otherwise(F.array_distinct(F.concat(F.array(F.lit("*")), domains, prefixes, F.array(F.concat(host, path)))))
+
+    def all_keys(of: Column) -> Column:
+        host, path, labels, parts = (of[c] for c in ("host", "path", "labels", "parts"))
+        domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+        prefixes = F.when(F.size(parts) > 2, F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.concat(host, F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
+        return F.when(host == "", F.array(F.lit("*"))).otherwise(F.array_distinct(F.concat(F.array(F.lit("*")), domains, prefixes, F.array(F.concat(host, path)))))
+
+    split = lambda of: F.struct(of["host"].alias("host"), of["path"].alias("path"), F.split(of["host"], r"\.").alias("labels"), F.split(of["path"], "/").alias("parts"))
+    return once(F.struct(host.alias("host"), path.alias("path")), lambda of: once(split(of), all_keys))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", time_col: str = "time") -> DataFrame:
