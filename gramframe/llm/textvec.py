@@ -13,8 +13,6 @@ import pyarrow.compute as pc
 
 U = np.uint64
 GOLD, STEP = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Capital letters become small, and what is no letter or digit becomes a space, among the bytes of ASCII.
 PLAIN = np.array([ord(chr(b).lower()) if b >= 128 or chr(b).isalnum() else 32 for b in range(128)] + list(range(128, 256)), np.uint8)
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,7 +52,7 @@ class Words:
     """Of all texts: where words begin and end, their hash, and the text each is in."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
-        solid = ~SPACE[data]
+        solid = (data - np.uint8(9) > 4) & (data != 32)
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         last = solid.copy()
@@ -63,15 +61,16 @@ class Words:
         first[edges] = solid[edges]
         last[edges - 1] = solid[edges - 1]
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        at = np.flatnonzero(solid)
         size = self.ends - self.starts
-        place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-        value = TABLE[((place & (PLACES - 1)) << 8) | data[at]]
-        if len(size) and size.max() > PLACES:
+        edge = np.cumsum(size)
+        # a text has fewer than 2^31 bytes, and texts are taken together only up to a few megabytes, so 32 bits hold a place
+        place = np.arange(edge[-1] if len(edge) else 0, dtype=np.int32) - np.repeat((edge - size).astype(np.int32), size)
+        long_words = len(size) and size.max() > PLACES
+        value = TABLE.take(((place & (PLACES - 1) if long_words else place) << 8) | data[solid])
+        if long_words:
             late = np.flatnonzero(place >= PLACES)
             value[late] = mix(value[late] ^ ((place[late] // PLACES).astype(U) * GOLD))
-        edge = np.cumsum(size)
-        self.hash = mix(sums_of(value, edge - size, edge) + size.astype(U) * STEP)
+        self.hash = mix((np.add.reduceat(value, edge - size) if len(size) else value) + size.astype(U) * STEP)
         self.doc = np.searchsorted(offs, self.starts, "right") - 1
         self.count = np.bincount(self.doc, minlength=len(offs) - 1)
         self.at = np.concatenate([[0], np.cumsum(self.count)])
