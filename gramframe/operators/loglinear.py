@@ -6,15 +6,17 @@ distinct context. theta: a Column of the parameter of a product id. The partitio
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramframe.functions import text as X
+from gramframe.operators.correlation import BUCKETS, Scores
 from gramframe.sources.stage import cut
 
-BUCKETS = 1 << 20
 #: Words that a broadcast vocabulary may have, and contexts that one task scores against it.
-MOST_WORDS, CONTEXTS_A_TASK = 1_000_000, 20_000
+MOST_WORDS, CONTEXTS_A_TASK = 1_000_000, 250_000
 
 
 def theta_of(pid: Column) -> Column:
@@ -41,12 +43,12 @@ def scores(rows: DataFrame, contexts: DataFrame, theta=theta_of) -> DataFrame:
     return rows.join(bags(contexts), "ctx").withColumn("score", score_of(F.col("word_id"), F.col("fids"), theta)).drop("fids")
 
 
-def word_array(vocab: DataFrame) -> DataFrame:
-    """One row: the ids of the whole vocabulary, to be broadcast. Refuses vocabularies that have not been cut."""
+def word_ids(vocab: DataFrame) -> np.ndarray:
+    """The ids of the whole vocabulary, for the driver and each task. Refuses vocabularies that have not been cut."""
     n = vocab.count()
     if n > MOST_WORDS:
         raise ValueError(f"{n} words; cut the vocabulary to {MOST_WORDS} first")
-    return vocab.agg(F.sort_array(F.collect_list("word_id")).alias("words"))
+    return np.sort(vocab.select(F.col("word_id").cast("long").alias("word_id")).toArrow()["word_id"].to_numpy())
 
 
 def log_sum_exp(scores: Column) -> Column:
@@ -55,23 +57,36 @@ def log_sum_exp(scores: Column) -> Column:
     return F.aggregate(scores, F.struct(F.lit(-1e300).alias("top"), F.lit(0.0).alias("sum")), step, lambda a: a["top"] + F.ln(a["sum"]))
 
 
-def partitions(contexts: DataFrame, vocab: DataFrame, theta=theta_of) -> DataFrame:
-    """(ctx, fids, words, scores, logz): the whole vocabulary's scores in each distinct context, side by side in its row. Contexts are dealt
-    to tasks and meet the vocabulary there, so nothing of that size is shuffled. logz goes by the largest score, so that nothing overflows."""
-    each = cut(bags(contexts), "contexts")
-    tasks = max(each.sparkSession.sparkContext.defaultParallelism, -(-each.count() // CONTEXTS_A_TASK))
-    every = each.repartition(tasks, "ctx").join(F.broadcast(word_array(vocab)))
-    scored = every.withColumn("scores", F.transform("words", lambda w: score_of(w, F.col("fids"), theta)))
-    return scored.withColumn("logz", log_sum_exp(F.col("scores")))
+def theta_array(spark: SparkSession, theta=theta_of) -> np.ndarray:
+    """The parameters of all buckets."""
+    found = spark.range(BUCKETS).select("id", theta(F.col("id")).cast("double").alias("theta")).toArrow()
+    out = np.zeros(BUCKETS)
+    out[found["id"].to_numpy()] = found["theta"].to_numpy()
+    return out
+
+
+def dealt(contexts: DataFrame, n: int) -> DataFrame:
+    """n contexts, dealt to all cores, or to more tasks where a task would get too many."""
+    return contexts.repartition(max(contexts.sparkSession.sparkContext.defaultParallelism, -(-n // CONTEXTS_A_TASK)))
 
 
 def log_partition(contexts: DataFrame, vocab: DataFrame, theta=theta_of) -> DataFrame:
-    """(ctx, fids, logz), written, as several sums need it."""
+    """(ctx, fids, logz), written, as several sums need it; no rows without words. Contexts are dealt to tasks and meet parameters and
+    vocabulary there, so nothing of the size of both is made."""
+    spark = contexts.sparkSession
     each = cut(bags(contexts), "contexts")
-    tasks = max(each.sparkSession.sparkContext.defaultParallelism, -(-each.count() // CONTEXTS_A_TASK))
-    every = each.repartition(tasks, "ctx").join(F.broadcast(word_array(vocab)))
-    scored = F.transform("words", lambda w: score_of(w, F.col("fids"), theta))
-    return cut(every.select("ctx", "fids", log_sum_exp(scored).alias("logz")), "logz")
+    model = spark.sparkContext.broadcast((theta_array(spark, theta), word_ids(vocab)))
+
+    def run(batches):
+        batches = list(batches)
+        if batches and len(model.value[1]):
+            rows = pa.Table.from_batches(batches)
+            z = Scores(*model.value).log_z(rows["fids"].to_pylist())
+            yield from rows.append_column("logz", pa.array(z)).to_batches(max_chunksize=10_000)
+
+    out = cut(dealt(each, each.count()).mapInArrow(run, each.select("*", F.lit(0.0).alias("logz")).schema), "logz")
+    model.destroy()
+    return out
 
 
 def softmax_logprob(pairs: DataFrame, contexts: DataFrame, vocab: DataFrame, theta=theta_of) -> DataFrame:
@@ -91,14 +106,38 @@ def gradient_of(weighted: DataFrame, contexts: DataFrame) -> DataFrame:
     return weighted.groupBy("ctx", "word_id").agg(F.sum("w").alias("w")).join(contexts, "ctx").groupBy(pid_of().alias("pid")).agg(F.sum("w").alias("g"))
 
 
+def data_gradient(pairs: DataFrame, bagged: DataFrame) -> DataFrame:
+    """(pid, g) of the scores of pairs (ctx, word_id, n); bagged: (ctx, fids)."""
+    each = pairs.join(bagged, "ctx").select("word_id", F.col("n").cast("double").alias("n"), F.explode("fids").alias("fid"))
+    return each.groupBy(pid_of().alias("pid")).agg(F.sum("n").alias("g"))
+
+
+def model_gradient(seen: DataFrame, theta: np.ndarray, words: np.ndarray, strength: float) -> DataFrame:
+    """(pid, g) of -m (log Z + strength / 2 (log Z)^2) over seen (fids, m), a context a row, by tasks; their sum of that value has the pid -1."""
+    model = seen.sparkSession.sparkContext.broadcast((theta, words))
+
+    def run(batches):
+        batches = list(batches)
+        if batches and len(model.value[1]):
+            rows = pa.Table.from_batches(batches)
+            value, grad, met = Scores(*model.value).model(rows["fids"].to_pylist(), rows["m"].to_numpy(), strength)
+            some = np.flatnonzero(met)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(grad[some], value))], ["pid", "g"])
+
+    return seen.select("fids", F.col("m").cast("double").alias("m")).mapInArrow(run, "pid long, g double")
+
+
+def seen_contexts(pairs: DataFrame, bagged: DataFrame) -> DataFrame:
+    """(fids, m), written and dealt: how often each context is seen."""
+    seen = cut(pairs.groupBy("ctx").agg(F.sum("n").alias("m")).join(bagged, "ctx").select("fids", "m"), "seen")
+    return dealt(seen, seen.count())
+
+
 def self_normalized_gradient(pairs: DataFrame, contexts: DataFrame, vocab: DataFrame, strength: float, theta=theta_of) -> DataFrame:
-    """(pid, g) of that objective. The model's part is summed by parameter where the scores are made."""
-    seen = pairs.groupBy("ctx").agg(F.sum("n").alias("m"))
-    every = partitions(contexts, vocab, theta).join(seen, "ctx")
-    model = every.select("fids", (-F.col("m") * (1 + strength * F.col("logz"))).alias("m"), "logz", F.inline(F.arrays_zip("words", "scores")).alias("word_id", "score"))
-    model = model.select(F.explode("fids").alias("fid"), "word_id", (F.col("m") * F.exp(F.col("score") - F.col("logz"))).alias("w")).groupBy(pid_of().alias("pid")).agg(F.sum("w").alias("g"))
-    data = gradient_of(pairs.select("ctx", "word_id", F.col("n").cast("double").alias("w")), contexts)
-    return data.unionByName(model).groupBy("pid").agg(F.sum("g").alias("g"))
+    """(pid, g) of that objective. The model's part is summed by parameter in each task."""
+    spark, bagged = pairs.sparkSession, cut(bags(contexts), "contexts")
+    model = model_gradient(seen_contexts(pairs, bagged), theta_array(spark, theta), word_ids(vocab), strength).where("pid >= 0")
+    return data_gradient(pairs, bagged).unionByName(model).groupBy("pid").agg(F.sum("g").alias("g"))
 
 
 def nce_terms(pairs: DataFrame, noise: DataFrame, contexts: DataFrame, vocab: DataFrame, k: int, theta=theta_of) -> DataFrame:

@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 from gramframe.operators import loglinear
 from gramframe.sources.stage import cut, task
 
-#: Scores that a task holds at a time.
-CELLS = 2_000_000
-
-
 @dataclass(frozen=True)
 class Training:
     """Groups a batch, steps, AdaGrad's rate, penalty strength, whether it is L1, and strength of the (log Z)^2 penalty."""
@@ -32,64 +28,41 @@ class Training:
     monitor_every: int = 10
 
 
-def product_ids(words: np.ndarray, fids: np.ndarray) -> np.ndarray:
-    """Parameter ids of all words with each feature, as loglinear.pid_of gives them."""
-    return (words[None, :] * 73856093 + fids[:, None] * 19349663) % loglinear.BUCKETS
-
-
-def _partials(theta, words: np.ndarray, normalizer: float):
-    """Log-likelihood and gradient of a partition of (fids, seen, n), a context a row; the row -1 has the likelihood."""
+def _by_bucket(sums: DataFrame) -> np.ndarray:
+    """(pid, g) as an array, a place a bucket; the last is that of the pid -1."""
+    found, out = sums.groupBy("pid").agg(F.sum("g").alias("g")).toArrow(), np.zeros(loglinear.BUCKETS + 1)  # at most a row a bucket
+    out[found["pid"].to_numpy()] = found["g"].to_numpy()
+    return out
 
-    def run(batches):
-        value, grad, ll = theta.value, np.zeros(loglinear.BUCKETS), 0.0
-        place = {int(w): i for i, w in enumerate(words)}
-        for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            for fids, seen, counts in rows:
-                ids = product_ids(words, np.asarray(fids, np.int64))
-                s = value[ids].sum(0)
-                top = s.max()
-                z = top + np.log(np.exp(s - top).sum())
-                at, n = np.array([place[w] for w in seen]), np.asarray(counts, float)
-                ll += float((n * (s[at] - z - normalizer / 2 * z * z)).sum())
-                g = -n.sum() * np.exp(s - z) * (1 + normalizer * z)
-                np.add.at(g, at, n)
-                for row in ids:
-                    np.add.at(grad, row, g)
-        some = np.flatnonzero(grad)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(grad[some], ll))], ["i", "g"])
 
-    return run
+def _examples(rows: DataFrame, bags: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """Of a batch: how often contexts are seen, the gradient of its scores, and its size."""
+    pairs = cut(rows.groupBy("ctx", "word_id").agg(F.sum("n").alias("n")), "batch")
+    return loglinear.seen_contexts(pairs, bags), _by_bucket(loglinear.data_gradient(pairs, bags)), pairs.agg(F.sum("n")).first()[0]
 
 
 def sgd(data: DataFrame, contexts: DataFrame, vocab: DataFrame, p: Training, monitor: Callable[[int, float, float], None] | None = None) -> tuple[np.ndarray, list[float]]:
     """data: (group_id, ctx, word_id, n); contexts: (ctx, fid). Returns the parameters by id and each step's mean log-likelihood.
 
-    A step takes batch_groups groups, or all if there are fewer. monitor gets the step, the mean log-likelihood and the perplexity that
-    it stands for, each monitor_every steps."""
+    A step takes batch_groups groups, or all if there are fewer or batch_groups is 0; what a step over all of them needs of the data is
+    found once. monitor gets the step, the mean log-likelihood and the perplexity that it stands for, each monitor_every steps."""
     spark = data.sparkSession
     data, bags = cut(data, "examples"), cut(loglinear.bags(contexts), "bags")
-    words = np.array(loglinear.word_array(vocab).first()[0], np.int64)
-    groups = sorted(r[0] for r in data.select("group_id").distinct().collect())  # an id a group of lines
-    rng, theta = np.random.default_rng(p.seed), np.zeros(loglinear.BUCKETS)
+    words = loglinear.word_ids(vocab)
+    groups = sorted(r[0] for r in data.select("group_id").distinct().collect()) if p.batch_groups else []  # an id a group of lines
+    rng, theta, whole = np.random.default_rng(p.seed), np.zeros(loglinear.BUCKETS), None
     seen, history = np.full(loglinear.BUCKETS, 1e-8), []
     for step in range(p.steps):
         with task(spark, f"training step {step}"):
-            batch = groups
             if p.batch_groups < len(groups):
                 batch = sorted(int(g) for g in rng.choice(groups, p.batch_groups, replace=False))
-            chosen = spark.createDataFrame([(g,) for g in batch], "group_id long")
-            rows = data.join(F.broadcast(chosen), "group_id", "left_semi") if len(batch) < len(groups) else data
-            each = rows.groupBy("ctx", "word_id").agg(F.sum("n").alias("n")).groupBy("ctx").agg(F.collect_list("word_id").alias("seen"), F.collect_list("n").alias("n"))
-            n = rows.agg(F.sum("n")).first()[0]
-            now = spark.sparkContext.broadcast(theta)
-            dealt = each.join(bags, "ctx").select("fids", "seen", "n").repartition(spark.sparkContext.defaultParallelism)
-            summed = dealt.mapInArrow(_partials(now, words, p.normalizer), "i long, g double").groupBy("i").agg(F.sum("g").alias("g")).toPandas()  # at most a row a bucket
-            now.destroy()
-        grad, keep = np.zeros(loglinear.BUCKETS), summed["i"] >= 0
-        ll = float(summed["g"][~keep].sum())
-        grad[summed["i"][keep].to_numpy()] = summed["g"][keep].to_numpy()
-        grad = grad / n - (0 if p.l1 else p.l2 * theta / n)
+                chosen = spark.createDataFrame([(g,) for g in batch], "group_id long")
+                met, gold, n = _examples(data.join(F.broadcast(chosen), "group_id", "left_semi"), bags)
+            else:
+                met, gold, n = whole = whole or _examples(data, bags)
+            model = _by_bucket(loglinear.model_gradient(met, theta, words, p.normalizer))
+        ll = float(gold[:-1] @ theta + model[-1])
+        grad = (gold + model)[:-1] / n - (0 if p.l1 else p.l2 * theta / n)
         seen += grad**2
         theta = theta + p.rate * grad / np.sqrt(seen)
         if p.l1:

@@ -225,3 +225,39 @@ def test_log_sum_exp_does_not_overflow(spark):
     got = spark.createDataFrame([([1000.0, 1000.0, -1000.0],), ([0.5],), ([-800.0, -801.0],)], "x array<double>").select(loglinear.log_sum_exp(F.col("x"))).collect()
     for r, want in zip(got, (1000 + math.log(2), 0.5, -800 + math.log1p(math.exp(-1)))):
         assert r[0] == pytest.approx(want, rel=1e-12)
+
+
+@pytest.mark.parametrize("wide", [0.1, 30.0])
+def test_transforms_agree_with_sums_over_words(monkeypatch, wide):
+    """Bags of one to three features, some many times over; of parameters far apart, sums too small for a transform go by words."""
+    from gramframe.operators import correlation
+
+    rng = np.random.default_rng(3)
+    theta, words = rng.normal(0, wide, correlation.BUCKETS), np.arange(700)
+    bags = [[0], [5, 5]] + [[0, int(f)] for f in range(1, 400)] + [[0, 7, int(f)] for f in range(8, 300)]
+    m = rng.integers(1, 1000, len(bags))
+    plain = correlation.Scores(theta, words)
+    want, (value, grad, met) = plain.log_z(bags), plain.model(bags, m, 0.1)
+    monkeypatch.setattr(correlation, "CELLS", 10_000)
+    monkeypatch.setattr(correlation.Scores, "_chunks", lambda self, n: iter([slice(0, n)]))
+    assert plain._many(range(100))
+    got, (value2, grad2, met2) = plain.log_z(bags), plain.model(bags, m, 0.1)
+    assert np.abs(got - want).max() < 1e-9 and value2 == pytest.approx(value, rel=1e-12) and (met == met2).all()
+    assert np.abs(grad2 - grad).max() < 1e-9 * np.abs(grad).max()
+    for bag, z in zip(bags[:3], want):
+        s = sum(theta[(words * 73856093 + f * 19349663) % correlation.BUCKETS] for f in bag)
+        assert z == pytest.approx(s.max() + np.log(np.exp(s - s.max()).sum()))
+
+
+def test_partition_functions_of_many_contexts_make_no_product(spark):
+    """200,000 contexts of 20,000 words, four thousand million scores."""
+    import time
+
+    contexts = spark.range(1, 200_001).select(F.col("id").alias("ctx"), F.explode(F.array(F.lit(0).cast("long"), "id")).alias("fid"))
+    began = time.time()
+    z = {r[0]: r[1] for r in loglinear.log_partition(contexts, spark.range(20_000).withColumnRenamed("id", "word_id")).where("ctx % 50000 = 7").select("ctx", "logz").collect()}
+    assert time.time() - began < 30 and len(z) == 4
+    w = np.arange(20_000)
+    theta = lambda p: (p * 37 % 101 - 50) / 500
+    for f, logz in z.items():
+        assert logz == pytest.approx(np.log(np.exp(theta(w * 73856093 % loglinear.BUCKETS) + theta((w * 73856093 + f * 19349663) % loglinear.BUCKETS)).sum()), abs=1e-11)
