@@ -261,3 +261,21 @@ def test_partition_functions_of_many_contexts_make_no_product(spark):
     theta = lambda p: (p * 37 % 101 - 50) / 500
     for f, logz in z.items():
         assert logz == pytest.approx(np.log(np.exp(theta(w * 73856093 % loglinear.BUCKETS) + theta((w * 73856093 + f * 19349663) % loglinear.BUCKETS)).sum()), abs=1e-11)
+
+
+def test_gradient_of_many_contexts_makes_no_product(spark):
+    """The same size; the gradient of the exact objective is as large in the data as in the model, and one of its parts is summed by hand."""
+    import time
+
+    pairs = spark.range(1, 200_001).select(F.col("id").alias("ctx"), (F.col("id") % 20_000).alias("word_id"), (1 + F.col("id") % 5).alias("n"))
+    contexts = pairs.select("ctx", F.explode(F.array(F.lit(0).cast("long"), "ctx")).alias("fid"))
+    began = time.time()
+    g = {r[0]: r[1] for r in loglinear.self_normalized_gradient(pairs, contexts, spark.range(20_000).withColumnRenamed("id", "word_id"), 0.0).collect()}
+    assert time.time() - began < 40 and len(g) == loglinear.BUCKETS and sum(g.values()) == pytest.approx(0, abs=1e-4)
+    w, f, pid = np.arange(20_000), np.arange(1, 200_001), 123_456
+    theta, at = (lambda p: (p % loglinear.BUCKETS * 37 % 101 - 50) / 500), w * 73856093 % loglinear.BUCKETS
+    z = {c: np.exp(theta(at) + theta(at + c * 19349663)).sum() for c in f[np.isin((pid - f * 19349663) % loglinear.BUCKETS, at)]}
+    place = {int(a): int(i) for i, a in enumerate(at)}
+    assert pid not in place
+    want = sum((1 + c % 5) * ((i == c % 20_000) - np.exp(theta(at[i]) + theta(pid)) / s) for c, s in z.items() for i in [place[int((pid - c * 19349663) % loglinear.BUCKETS)]])
+    assert g[pid] == pytest.approx(want, rel=1e-9)
