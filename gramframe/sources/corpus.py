@@ -93,10 +93,12 @@ def word_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("value").alias("word")).where("word <> ''").distinct()
 
 
-def external_scores(rows: DataFrame) -> DataFrame:
-    """(word, log10p) from a scorer's output lines (line): 'word=id order log10p' by tabs; other lines, such as a trailer, have none."""
-    parts = F.split("line", "[\t ]")
-    return rows.where(F.col("line").rlike(r"^[^=\t]+=[0-9]+[ \t][0-9]+[ \t]-?[0-9.eE+-]+$")).select(F.regexp_extract("line", r"^([^=\t]+)=", 1).alias("word"), parts[2].cast("double").alias("log10p"))
+def external_scores(rows: DataFrame, *keep: str) -> DataFrame:
+    """(word, log10p, columns to keep) from a scorer's output lines (line): 'word=id order log10p' by tabs; other lines, such as a trailer,
+    have none. A word may itself have '=', tabs or line separators: it ends at the last '=' that the three numbers follow."""
+    form = r"(?s)^(.+)=[0-9]+[ \t][0-9]+[ \t](-?[0-9.eE+-]+)\z"
+    part = lambda i: F.regexp_extract("line", form, i)
+    return rows.where(F.col("line").rlike(form)).select(part(1).alias("word"), part(2).cast("double").alias("log10p"), *keep)
 
 
 def piped_scores(rows: DataFrame, command: str) -> DataFrame:

@@ -279,3 +279,15 @@ def test_gradient_of_many_contexts_makes_no_product(spark):
     assert pid not in place
     want = sum((1 + c % 5) * ((i == c % 20_000) - np.exp(theta(at[i]) + theta(pid)) / s) for c, s in z.items() for i in [place[int((pid - c * 19349663) % loglinear.BUCKETS)]])
     assert g[pid] == pytest.approx(want, rel=1e-9)
+
+
+def test_external_scores_of_words_with_the_marks_of_the_format(spark, tmp_path):
+    words = ["=", "a=b", "x=1\t2", "r s", "c\r", "plain"]
+    rows = spark.createDataFrame([(f"{w}=1\t2\t-0.500000",) for w in words] + [("perplexity 3",), ("=1\t2\t-0.5",)], "line string")
+    assert sorted(map(tuple, C.external_scores(rows).collect())) == sorted((w, -0.5) for w in words)
+    text = "\n".join(f"= a=b plain {'x' if i % 3 else 'y\tz'} r s" for i in range(150))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = oracle.duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    name = "external_scores_perplexity"
+    assert oracle.compare(Q.QUERIES[name](spark, str(tmp_path)), con, Q.ORACLE_SQL[name]) is None
