@@ -121,12 +121,16 @@ def bit_sign(bit: Column) -> Column:
     return F.when(bit == "1", 1).otherwise(-1)
 
 
-def pack_ids(*ids: Column, bits: int = 20) -> Column:
-    """Up to three word ids of 20 bits after a bit that is set; a missing id leaves its place empty. An id beyond its bits is an error, as its key would be another's."""
+def pack_ids(*ids: Column, bits: int = 20, carry: bool = False) -> Column:
+    """Up to three word ids of 20 bits after a bit that is set; a missing id leaves its place empty. An id beyond its bits is an error, as
+    its key would be another's. With carry they are added up, and only a sum beyond a long is an error: keys are then not unique."""
     key = F.lit(1).cast("long")
     for i, c in enumerate(ids):
-        whole = F.when(c.cast("long") >= 1 << bits, F.raise_error(F.concat(F.lit("an id is over the bits of its place: "), c.cast("string")))).otherwise(F.shiftleft(c.cast("long"), 1 + bits * i))
-        key = key + F.coalesce(whole, F.lit(0).cast("long"))
+        low = 1 + bits * i
+        most = 1 << (63 - low if carry else bits)
+        whole = F.when(c.cast("long") >= most, F.raise_error(F.concat(F.lit("an id is over the bits of its place: "), c.cast("string")))).otherwise(F.shiftleft(c.cast("long"), low))
+        part = F.coalesce(whole, F.lit(0).cast("long"))
+        key = key + (F.when(key > F.lit((1 << 63) - 1) - part, F.raise_error(F.lit("the key is over 63 bits"))).otherwise(part) if carry else part)
     return key
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,9 @@ from gramframe.functions import text as X
 from gramframe.sources import corpus as C
 from gramframe.sources.stage import cut
 
+#: Words whose ids each task gets, a few MB.
+FREQUENT = 250_000
+
 
 def unigrams(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
@@ -130,3 +135,36 @@ def feature_covariance(has: DataFrame, means: DataFrame, sampled: DataFrame) ->
     n_f = with_f.groupBy("f").agg(F.sum("c").alias("n_f"))
     mean = lambda x: means.select(F.col("feature").alias(x), F.col("mean").alias(f"m_{x}"))
     return both.join(n_f, "f").join(mean("f"), "f").join(mean("g"), "g").select("f", "g", ((1 - F.col("m_f")) * (F.col("n_fg") - F.col("n_f") * F.col("m_g"))).alias("cov"))
+
+
+def line_ids(rows: DataFrame, ids: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, line_no, ids) of rows (doc_id, line_no, words): each word's id. ids: (word, word_id), the most frequent first, with all words.
+
+    The frequent words' ids are broadcast, so that lines stay whole; only the others' occurrences are shuffled, to their ids and back."""
+    spark = rows.sparkSession
+    known = spark.sparkContext.broadcast(ids.where(F.col("word_id") < frequent).select("word", F.col("word_id").cast("long").alias("word_id")).toArrow().combine_chunks())
+
+    def run(batches):
+        words, numbers = (known.value.column(c).combine_chunks() for c in ("word", "word_id"))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(2)
+            flat, ends = lists.flatten(), pc.cast(pc.cumulative_sum(pc.list_value_length(lists)), "int32")
+            offsets = pa.concat_arrays([pa.array([0], "int32"), ends])
+            at = pc.index_in(flat, value_set=words.cast(flat.type))
+            rare = pc.is_null(at)
+            before = pa.concat_arrays([pa.array([0], "int64"), pc.cumulative_sum(pc.cast(rare, "int64"))])  # rare words before each place
+            starts = pc.take(before, offsets)
+            first = pc.take(starts, pc.list_parent_indices(pa.ListArray.from_arrays(offsets, flat)))
+            nth = pc.subtract(pc.subtract(first, before.slice(0, len(flat))), 1)  # -1 for a line's first rare word, -2 for the next
+            found = pc.coalesce(pc.take(numbers, at), nth)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, found), pa.ListArray.from_arrays(pc.cast(starts, "int32"), pc.filter(flat, rare))], ["doc_id", "line_no", "found", "rare"])
+
+    schema = rows.select("doc_id", "line_no", F.array(F.lit(0).cast("long")).alias("found"), F.col("words").alias("rare")).schema
+    lines = cut(rows.select("doc_id", "line_no", "words").mapInArrow(run, schema), "lines")
+    known.destroy()
+    occurrences = lines.select("doc_id", "line_no", F.posexplode("rare").alias("nth", "word"))
+    met = occurrences.join(ids.where(F.col("word_id") >= frequent), "word").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("nth", "word_id"))).alias("others"))
+    both = lines.select("doc_id", "line_no", "found").join(met.select("doc_id", "line_no", F.col("others.word_id").alias("others")), ["doc_id", "line_no"], "left")
+    return both.select("doc_id", "line_no", F.transform("found", lambda x: F.when(x < 0, F.get("others", (-x - 1).cast("int"))).otherwise(x)).alias("ids"))

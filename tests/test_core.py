@@ -291,3 +291,34 @@ def test_external_scores_of_words_with_the_marks_of_the_format(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     name = "external_scores_perplexity"
     assert oracle.compare(Q.QUERIES[name](spark, str(tmp_path)), con, Q.ORACLE_SQL[name]) is None
+
+
+def test_packed_ids_with_a_carry(spark):
+    """As DuckDB adds them up; what is beyond a long is an error in both."""
+    big, con = 1 << 20, oracle.duckdb.connect()
+    rows = [(big + 5, big, big - 1), (3 * big, 0, 4 * big - 1), (None, 2 * big, None)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a long, b long, c long").coalesce(1).select(X.pack_ids(F.col("a"), F.col("b"), F.col("c"), carry=True)).collect()]
+    sql = "SELECT 1 + coalesce(a << 1, 0) + coalesce(b << 21, 0) + coalesce(c << 41, 0) FROM (SELECT ?::BIGINT AS a, ?::BIGINT AS b, ?::BIGINT AS c)"
+    assert got == [con.execute(sql, r).fetchone()[0] for r in rows]
+    for r in [(0, 0, 4 * big), (3 * big, 4 * big, 4 * big - 1)]:
+        with pytest.raises(Exception, match="over"):
+            spark.createDataFrame([r], "a long, b long, c long").select(X.pack_ids(F.col("a"), F.col("b"), F.col("c"), carry=True)).collect()
+        with pytest.raises(oracle.duckdb.OutOfRangeException):
+            con.execute(sql, r).fetchone()
+
+
+def test_line_ids_of_frequent_and_rare_words(spark):
+    lines = [["a", "b", "c", "a"], ["c", "d", "c"], ["a"], [f"w{i % 300}" for i in range(3000)], ["d", "a", "d"]]
+    rows = spark.createDataFrame([(i // 2, i % 2, w) for i, w in enumerate(lines)], "doc_id long, line_no int, words array<string>").coalesce(2)
+    ids = {w: i for i, w in enumerate(["a", "b", "c", "d", *[f"w{i}" for i in range(300)]])}
+    table = spark.createDataFrame(list(ids.items()), "word string, word_id long")
+    for frequent in (0, 3, 100, 1000):
+        got = {(r[0], r[1]): r[2] for r in counts.line_ids(rows, table, frequent).collect()}
+        assert got == {(i // 2, i % 2): [ids[x] for x in w] for i, w in enumerate(lines)}
+
+
+def test_packed_keys_of_texts_with_the_marks_as_words(spark, tmp_path):
+    spark.createDataFrame([(1, "a <s> b a\n\n</s> a"), (2, "b </s>")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = oracle.duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert oracle.compare(Q.QUERIES["packed_keys"](spark, str(tmp_path)), con, Q.ORACLE_SQL["packed_keys"]) is None
