@@ -322,3 +322,28 @@ def test_packed_keys_of_texts_with_the_marks_as_words(spark, tmp_path):
     con = oracle.duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert oracle.compare(Q.QUERIES["packed_keys"](spark, str(tmp_path)), con, Q.ORACLE_SQL["packed_keys"]) is None
+
+
+@pytest.mark.parametrize("name", ["sn_objective"])
+def test_objectives_of_many_contexts_make_no_product(spark, name):
+    """200,000 contexts of 20,000 words, each with one pair of its own."""
+    import time
+
+    n, words = 200_000, np.arange(20_000)
+    pairs = spark.range(1, n + 1).select(F.col("id").alias("ctx"), (F.col("id") % 20_000).alias("word_id"), F.lit(2).cast("long").alias("n"))
+    contexts = pairs.select("ctx", F.explode(F.array(F.lit(0).cast("long"), "ctx")).alias("fid"))
+    vocab = spark.range(20_000).withColumnRenamed("id", "word_id")
+    theta, at = (lambda p: (p % loglinear.BUCKETS * 37 % 101 - 50) / 500), words * 73856093
+    z = lambda c: np.log(np.exp(theta(at) + theta(at + c * 19349663)).sum())
+    score = lambda c: theta(at[c % 20_000]) + theta(at[c % 20_000] + c * 19349663)
+    began = time.time()
+    if name == "softmax_logprob":
+        got = loglinear.softmax_logprob(pairs, contexts, vocab).where("ctx % 50000 = 9").select("ctx", "log_prob").collect()
+        assert len(got) == 4 and all(p == pytest.approx(score(c) - z(c), abs=1e-10) for c, p in got)
+    else:
+        strength = {"sn_objective": 0.1, "exact_objective": 0.0}[name]
+        got = loglinear.self_normalized(pairs, contexts, vocab, strength).first()
+        some = range(1, n + 1, 401)
+        mean = np.mean([score(c) - z(c) - strength / 2 * z(c) ** 2 for c in some])
+        assert got["n"] == 2 * n and got["objective"] / got["n"] == pytest.approx(mean, rel=2e-3)
+    assert time.time() - began < 40
