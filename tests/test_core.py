@@ -324,7 +324,7 @@ def test_packed_keys_of_texts_with_the_marks_as_words(spark, tmp_path):
     assert oracle.compare(Q.QUERIES["packed_keys"](spark, str(tmp_path)), con, Q.ORACLE_SQL["packed_keys"]) is None
 
 
-@pytest.mark.parametrize("name", ["sn_objective", "exact_objective"])
+@pytest.mark.parametrize("name", ["sn_objective", "exact_objective", "softmax_logprob"])
 def test_objectives_of_many_contexts_make_no_product(spark, name):
     """200,000 contexts of 20,000 words, each with one pair of its own."""
     import time
