@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -168,3 +169,35 @@ def line_ids(rows: DataFrame, ids: DataFrame, frequent: int = FREQUENT) -> DataF
     met = occurrences.join(ids.where(F.col("word_id") >= frequent), "word").groupBy("doc_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("nth", "word_id"))).alias("others"))
     both = lines.select("doc_id", "line_no", "found").join(met.select("doc_id", "line_no", F.col("others.word_id").alias("others")), ["doc_id", "line_no"], "left")
     return both.select("doc_id", "line_no", F.transform("found", lambda x: F.when(x < 0, F.get("others", (-x - 1).cast("int"))).otherwise(x)).alias("ids"))
+
+
+def coded_pairs(rows: DataFrame, own: DataFrame, vocab: DataFrame, *keep: str, frequent: int = FREQUENT) -> DataFrame:
+    """rows (words, ...) with the columns to keep and, of each line's pairs of neighbours whose second word is in the vocabulary, arrays of ids
+    side by side: own_id and word_id, or, where the first word's id is not among the frequent ones, rare (the word) and rare_word_id.
+
+    own: (own, own_id), the most frequent first; vocab: (word, word_id). Both are broadcast, the first up to the frequent ids."""
+    arrow = lambda df, *names: df.select(F.col(names[0]), F.col(names[1]).cast("int").alias(names[1])).toArrow().combine_chunks()
+    tables = rows.sparkSession.sparkContext.broadcast((arrow(own.where(F.col("own_id") < frequent), "own", "own_id"), arrow(vocab, "word", "word_id")))
+
+    def ids_of(words, table):
+        keys, ids = (table.column(i).combine_chunks() for i in range(2))
+        return pc.take(ids, pc.index_in(words, value_set=keys.cast(words.type)))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            flat, line = lists.flatten(), pc.list_parent_indices(lists)
+            n = max(len(flat) - 1, 0)
+            second = ids_of(flat.slice(1), tables.value[1])
+            met = pc.and_(pc.equal(line.slice(0, n), line.slice(1)), pc.is_valid(second))
+            first = ids_of(flat.slice(0, n), tables.value[0])
+            out = list(batch.columns[1:])
+            for chosen, value in ((pc.and_(met, pc.is_valid(first)), first), (pc.and_(met, pc.is_null(first)), flat.slice(0, n))):
+                sizes = np.bincount(pc.filter(line.slice(0, n), chosen).to_numpy(zero_copy_only=False), minlength=batch.num_rows)
+                offsets = pa.array(np.append(0, np.cumsum(sizes)), "int32")
+                out += [pa.ListArray.from_arrays(offsets, pc.filter(x, chosen)) for x in (value, second)]
+            yield pa.RecordBatch.from_arrays(out, [*keep, "own_id", "word_id", "rare", "rare_word_id"])
+
+    numbers, words = F.array(F.lit(0)), F.array(F.lit(""))
+    schema = rows.select(*keep, numbers.alias("own_id"), numbers.alias("word_id"), words.alias("rare"), numbers.alias("rare_word_id")).schema
+    return rows.select("words", *keep).mapInArrow(run, schema)

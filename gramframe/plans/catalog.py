@@ -247,27 +247,26 @@ def num_params(spark, sf_dir):
 GROUPED = f"{Q.ORDINAL}, og AS (SELECT ordinal // 100 AS group_id, list_concat(['<s>'], words, ['</s>']) AS w FROM o), gg AS (SELECT group_id, coalesce(f.fid, -1) AS ctx, word_id, count(*) AS n FROM (SELECT group_id, w[i] AS w1, w[i + 1] AS w2 FROM (SELECT *, unnest(range(1, len(w))) AS i FROM og)) JOIN v ON v.word = w2 LEFT JOIN f ON f.feature = 'NGRAM__' || w1 GROUP BY ALL)"
 
 
-def _materialised(rows: DataFrame, contexts: DataFrame, q: DataFrame) -> DataFrame:
-    """rows (group_id, ctx, word_id, n) with the parameter ids of each and the logarithm of its noise probability."""
+def _materialised(rows: DataFrame, feats: DataFrame, q: DataFrame) -> DataFrame:
+    """rows (group_id, ctx, word_id, n) with the parameter ids of each and the logarithm of its noise probability; no row is shuffled."""
     pids = F.sort_array(F.transform("fids", lambda f: X.product_id(F.col("word_id"), f, loglinear.BUCKETS)))
-    return rows.join(loglinear.bags(contexts), "ctx").join(q, "word_id").select("group_id", "ctx", "word_id", "n", X.joined_ids(pids).alias("pids"), rounded(F.ln("q")).alias("log_q"))
+    return Q.with_bags(rows, feats).join(sized(q), "word_id").select("group_id", "ctx", "word_id", "n", X.joined_ids(pids).alias("pids"), rounded(F.ln("q")).alias("log_q"))
 
 
 @query(f"{SM}, {NOISY}, {GROUPED} SELECT group_id, ctx, word_id, n, array_to_string(list({PID} ORDER BY {PID}), '_') AS pids, round(ln(max(q)), 6) AS log_q FROM gg JOIN k USING (ctx) JOIN q USING (word_id) GROUP BY group_id, ctx, word_id, n")
 def gold_features(spark, sf_dir):
     """Of each group of lines: what follows what, how often, its parameters and noise probability. C.save_groups writes such rows, a folder a group."""
-    rows, contexts, vocab = Q.grouped_pairs(corpus(spark, sf_dir))
-    return _materialised(rows, contexts, Q.noise_of(rows.select("ctx", "word_id"), vocab)[1])
+    rows, vocab, feats = Q.grouped_pairs(corpus(spark, sf_dir))
+    return _materialised(rows, feats, Q.noise_of(rows, vocab)[1])
 
 
 @query(f"{SM}, {NOISY}, {GROUPED}, gn AS (SELECT group_id, gg.ctx, noise_id AS word_id, CAST(sum(n) AS BIGINT) AS n FROM gg JOIN (SELECT DISTINCT ctx, word_id, j, noise_id FROM noise) USING (ctx, word_id) GROUP BY ALL) SELECT group_id, ctx, word_id, n, array_to_string(list({PID} ORDER BY {PID}), '_') AS pids, round(ln(max(q)), 6) AS log_q FROM gn JOIN k USING (ctx) JOIN q USING (word_id) GROUP BY group_id, ctx, word_id, n")
 def noise_features(spark, sf_dir):
-    """The same of the words drawn as noise."""
-    rows, contexts, vocab = Q.grouped_pairs(corpus(spark, sf_dir))
-    rows = cut(rows, "groups")
-    noise, q = Q.noise_of(rows.select("ctx", "word_id").distinct(), vocab)
-    drawn = rows.join(noise, ["ctx", "word_id"]).groupBy("group_id", "ctx", F.col("noise_id").alias("word_id")).agg(F.sum("n").alias("n"))
-    return _materialised(drawn, contexts, q)
+    """The same of the words drawn as noise. Groups are together before they are drawn for, so the draws stay where they are."""
+    rows, vocab, feats = Q.grouped_pairs(corpus(spark, sf_dir))
+    noise, q = Q.noise_of(rows, vocab, keep=("group_id", "n"))
+    drawn = noise.groupBy("group_id", "ctx", F.col("noise_id").alias("word_id")).agg(F.sum("n").alias("n"))
+    return _materialised(drawn, feats, q)
 
 
 @query(f"{Q.ORACLE_SQL['feature_covariance'].replace(' SELECT b.f, b.g, round(', ', cov AS (SELECT b.f, b.g, round(')}) SELECT place, f, g, cov FROM (SELECT *, row_number() OVER (ORDER BY cov DESC, f, g) - 1 AS place FROM cov) WHERE place % 100 = 0")

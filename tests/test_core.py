@@ -347,3 +347,22 @@ def test_objectives_of_many_contexts_make_no_product(spark, name):
         mean = np.mean([score(c) - z(c) - strength / 2 * z(c) ** 2 for c in some])
         assert got["n"] == 2 * n and got["objective"] / got["n"] == pytest.approx(mean, rel=2e-3)
     assert time.time() - began < 40
+
+
+def test_draws_for_groups_are_not_shuffled(spark):
+    """Groups of lines meet once; what is drawn for them and what is known of contexts and words comes to them."""
+    plan = Q.QUERIES["noise_features"](spark, SF)._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(group_id" in plan
+
+
+def test_model_of_texts_with_marks_rare_features_and_frequent_ones(spark, tmp_path, monkeypatch):
+    """Marks as words, features beyond the broadcast ids, and a vocabulary that has the end mark."""
+    text = "\n".join(f"a b{i % 40} <s> c </s> d{i % 7} a" + " e" * (i % 3) for i in range(250))
+    spark.createDataFrame([(1, text), (2, "a\n\nb1"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = oracle.duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for frequent in (4, 250_000):
+        monkeypatch.setattr(counts, "FREQUENT", frequent)
+        monkeypatch.setattr(counts.coded_pairs, "__kwdefaults__", {"frequent": frequent})
+        for name in ("weight_dump", "gold_features", "noise_features"):
+            assert oracle.compare(Q.QUERIES[name](spark, str(tmp_path)), con, Q.ORACLE_SQL[name]) is None, (name, frequent)
