@@ -37,8 +37,7 @@ def _by_bucket(sums: DataFrame) -> np.ndarray:
 
 def _examples(rows: DataFrame, bags: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
     """Of a batch: how often contexts are seen, the gradient of its scores, and its size."""
-    pairs = cut(rows.groupBy("ctx", "word_id").agg(F.sum("n").alias("n")), "batch")
-    return loglinear.seen_contexts(pairs, bags), _by_bucket(loglinear.data_gradient(pairs, bags)), pairs.agg(F.sum("n")).first()[0]
+    return loglinear.seen_contexts(rows, bags), _by_bucket(loglinear.data_gradient(rows, bags)), rows.agg(F.sum("n")).first()[0]
 
 
 def sgd(data: DataFrame, contexts: DataFrame, vocab: DataFrame, p: Training, monitor: Callable[[int, float, float], None] | None = None) -> tuple[np.ndarray, list[float]]:

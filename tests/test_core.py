@@ -366,3 +366,11 @@ def test_model_of_texts_with_marks_rare_features_and_frequent_ones(spark, tmp_pa
         monkeypatch.setattr(counts.coded_pairs, "__kwdefaults__", {"frequent": frequent})
         for name in ("weight_dump", "gold_features", "noise_features"):
             assert oracle.compare(Q.QUERIES[name](spark, str(tmp_path)), con, Q.ORACLE_SQL[name]) is None, (name, frequent)
+
+
+def test_training_on_all_groups_takes_them_all(spark, small):
+    """More groups than a batch of the default has: the whole batch is the same however it is grouped."""
+    _, contexts, vocab = small[:3]
+    pairs = spark.range(600).select((F.col("id") % 2).alias("ctx"), (F.col("id") % 3).alias("word_id"), (1 + F.col("id") % 7).alias("n"), F.col("id").alias("group_id"))
+    runs = [train.sgd(rows, contexts, vocab, train.Training(batch_groups=0, steps=3))[1] for rows in (pairs, pairs.withColumn("group_id", F.lit(0).cast("long")))]
+    assert runs[0] == pytest.approx(runs[1], rel=1e-12) and runs[0][2] > runs[0][0]
