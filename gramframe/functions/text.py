@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -134,6 +135,19 @@ def pack_ids(*ids: Column, bits: int = 20, carry: bool = False) -> Column:
     return key
 
 
+def pack_ids_wide(*ids: Column, bits: int = 20) -> Column:
+    """The sum that pack_ids makes with carry, as a decimal(38,0), which has room for up to three ids whatever their size. Sums that are
+    surely within a long are made as longs."""
+    wide, lows = "decimal(38,0)", [1 + bits * i for i in range(len(ids))]
+    long = [F.coalesce(c.cast("long"), F.lit(0).cast("long")) for c in ids]
+    small, short, whole = F.lit(True), F.lit(1).cast("long"), F.lit(Decimal(1))
+    for low, c in zip(lows, long):
+        small = small & (c < 1 << 61 - low)
+        short = short + F.shiftleft(c, low)
+        whole = whole + c.cast("decimal(19,0)") * F.lit(Decimal(1 << low))
+    return F.when(small, short.cast(wide)).otherwise(whole.cast(wide))
+
+
 def left_context(words: Column, size: int, start: str) -> Column:
     """For each place the `size` words before it, the nearest first, filled with the start symbol."""
     filled_words = F.concat(F.array_repeat(F.lit(start), size), words)

@@ -160,9 +160,9 @@ def line_ids(rows: DataFrame, ids: DataFrame, frequent: int = FREQUENT) -> DataF
             first = pc.take(starts, pc.list_parent_indices(pa.ListArray.from_arrays(offsets, flat)))
             nth = pc.subtract(pc.subtract(first, before.slice(0, len(flat))), 1)  # -1 for a line's first rare word, -2 for the next
             found = pc.coalesce(pc.take(numbers, at), nth)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, found), pa.ListArray.from_arrays(pc.cast(starts, "int32"), pc.filter(flat, rare))], ["doc_id", "line_no", "found", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pc.cast(found, "int32")), pa.ListArray.from_arrays(pc.cast(starts, "int32"), pc.filter(flat, rare))], ["doc_id", "line_no", "found", "rare"])
 
-    schema = rows.select("doc_id", "line_no", F.array(F.lit(0).cast("long")).alias("found"), F.col("words").alias("rare")).schema
+    schema = rows.select("doc_id", "line_no", F.array(F.lit(0)).alias("found"), F.col("words").alias("rare")).schema  # ids under frequent and places in a line are ints
     lines = cut(rows.select("doc_id", "line_no", "words").mapInArrow(run, schema), "lines")
     known.destroy()
     occurrences = lines.select("doc_id", "line_no", F.posexplode("rare").alias("nth", "word"))

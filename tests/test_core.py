@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gramframe.functions import text as X
 from gramframe.operators import counts, huffman, loglinear, smoothing, train
 from gramframe.plans import catalog as Q
-from gramframe.plans import experiment
+from gramframe.plans import experiment, queries
 from gramframe.plans.queries import noise_of
 from gramframe.sources import corpus as C
 
@@ -324,6 +324,46 @@ def test_packed_keys_of_texts_with_the_marks_as_words(spark, tmp_path):
     assert oracle.compare(Q.QUERIES["packed_keys"](spark, str(tmp_path)), con, Q.ORACLE_SQL["packed_keys"]) is None
 
 
+def test_ids_packed_wide(spark):
+    rows = [(1 << 20, 3 << 20, (1 << 22) - 1), (0, 0, 1 << 22), (3 << 20, 1 << 22, (1 << 22) - 1), (None, 1 << 40, None), (9, 8, 7), (None, None, None), ((1 << 63) - 1,) * 3]
+    df = spark.createDataFrame(rows, "a long, b long, c long").coalesce(1).select(X.pack_ids_wide(F.col("a"), F.col("b"), F.col("c")).alias("key"))
+    assert df.dtypes == [("key", "decimal(38,0)")]
+    assert [int(r[0]) for r in df.collect()] == [1 + ((a or 0) << 1) + ((b or 0) << 21) + ((c or 0) << 41) for a, b, c in rows]
+
+
+WIDE_SQL = Q.ORACLE_SQL["packed_keys"].replace("word_id << ", "word_id::HUGEINT << ")
+
+
+@pytest.mark.parametrize("third", [True, False])
+def test_packed_keys_beyond_a_long(spark, tmp_path, third):
+    """Places of 30 bits leave the third word two, so that few words do what 2^22 do in places of 20. Words that only begin lines are never third, and SQL has a result."""
+    text = "\n".join(["a b c", "a b c", "a b", "a", *[f"a w{i} d" if third else f"w{i}" for i in range(40)]])
+    spark.createDataFrame([(1, text), (2, "a </s>"), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = oracle.duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, sql = queries.trigram_keys(queries.corpus(spark, str(tmp_path)), bits=30), [x.replace("<< 21", "<< 31").replace("<< 41", "<< 61") for x in (Q.ORACLE_SQL["packed_keys"], WIDE_SQL)]
+    assert dict(got.dtypes)["key"] == ("decimal(38,0)" if third else "bigint")
+    assert oracle.compare(got.withColumn("key", F.col("key").cast("decimal(38,0)")), con, sql[1]) is None
+    if third:
+        with pytest.raises(oracle.duckdb.OutOfRangeException):
+            con.sql(sql[0]).fetchall()
+    else:
+        assert oracle.compare(got, con, sql[0]) is None
+
+
+def test_packed_keys_of_a_vocabulary_over_the_bound(spark, tmp_path):
+    """The word a and once w0000001 to w4194303, whose ids are the same numbers: the last id is just within the third place, but the one before it runs over into it."""
+    con = oracle.duckdb.connect()
+    con.sql(f"""COPY (SELECT i // 100000 AS doc_id, string_agg('a w' || printf('%07d', i), ' ' ORDER BY i) || CASE WHEN max(i) = 4194302 THEN ' w4194303' ELSE '' END AS text
+ FROM (SELECT unnest(range(1, 4194303)) AS i) GROUP BY ALL) TO '{tmp_path}/documents.parquet'""")
+    Q.QUERIES["packed_keys"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    rows = "SELECT count(*), sum(key), bit_xor(hash(doc_id, line_no, pos, key)) FROM (SELECT doc_id, line_no::BIGINT AS line_no, pos, key::HUGEINT AS key FROM {})"
+    assert con.sql(rows.format(f"'{tmp_path}/out/*.parquet'")).fetchall() == con.sql(rows.format(f"({WIDE_SQL})")).fetchall()
+    with pytest.raises(oracle.duckdb.OutOfRangeException):
+        con.sql(f"SELECT sum(key) FROM ({Q.ORACLE_SQL['packed_keys']})").fetchall()
+
+
 @pytest.mark.parametrize("name", ["sn_objective", "exact_objective", "softmax_logprob"])
 def test_objectives_of_many_contexts_make_no_product(spark, name):
     """200,000 contexts of 20,000 words, each with one pair of its own."""
